@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliomill.llm import packing, token_output
+from foliomill.llm import lang_id, license_scan, packing, pii, token_output
+from foliomill.llm.common import id_crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,25 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and texts in all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc_mod("doc_id", 4) == 2
+    model = lang_id.train(docs, ~held_out)
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return lang_id.classify(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of up to 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -25,6 +46,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_license_scan": op2_license_scan,
+    "op3_pii": op3_pii,
+    "op10_lang_id": op10_lang_id,
     "op6_packing": op6_packing,
 }
 ORACLES: dict[str, str] = {}
