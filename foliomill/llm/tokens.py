@@ -14,7 +14,9 @@ import re
 from array import array
 from collections.abc import Iterable
 
-_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: White space other than a single space or newline, and places where two meet.
+_ODD = ("  ", "\n\n", " \n", "\n ", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Byte-level vocabularies write each byte as one character: printable Latin-1 as it is, the 68 others from U+0100 on.
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE = {b: chr(b if b in _PLAIN else 0x100 + sum(x not in _PLAIN for x in range(b))) for b in range(256)}
@@ -29,102 +31,68 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Encodes whole texts to little-endian unsigned 32-bit ids, as bytes.
+class Runs(dict):
+    """Ids of runs as bytes; a run is a word after a space (kept without it) or after a newline (kept with it).
 
-    ``most`` bounds the runs kept; beyond it only those met in two batches stay,
-    or else those of the last.
+    A run that is asked for and missing is encoded. ``old`` holds the runs of
+    the generation before; those asked for again move on.
     """
 
-    def __init__(self, path: str | None = None, most: int = 600_000):
+    def __init__(self, tokenizer):
+        self.tokenizer, self.old = tokenizer, {}
+        self.newline = self.encode("\n")
+        self.marks = {x: self.encode(x) for x in ".,"}
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.old.get(run)
+        if ids is None:
+            if run[-1:] in self.marks and run[:-1] not in ("", "\n") and _LETTERS.fullmatch(run[:-1].lstrip("\n")):
+                ids = self[run[:-1]] + self.marks[run[-1]]
+            elif run[:1] == "\n":
+                ids = self.newline + self.word(run[1:], "", "")
+            else:
+                ids = self.word(run, " ", "\u0120")
+        self[run] = ids
+        return ids
+
+    def word(self, word: str, space: str, mark: str) -> bytes:
+        if _LETTERS.fullmatch(word):  # one pre-token: straight to the vocabulary's merges
+            return array("I", [x.id for x in self.tokenizer.model.tokenize(mark + (word if word.isascii() else word.translate(_BYTES)))]).tobytes()
+        return self.encode(space + word)
+
+
+class Encoder:
+    """Encodes whole texts to little-endian unsigned 32-bit ids, as bytes; ``most`` bounds the runs kept."""
+
+    def __init__(self, path: str | None = None, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.tokenizer.encode_special_tokens = True
-        self.most = most
-        self.first: dict[str, bytes] = {}  # runs without a space before them
-        self.later: dict[str, bytes] = {}  # runs with one, kept without it
-        self.again: set[str] = set()
-        self.newline = self._encode(["\n"])[0]
-        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in made]
-
-    def _encode_runs(self, runs: list[str], before: str) -> list[bytes]:
-        """The same for runs without white space, in a few calls: a newline between two runs is a token of its own."""
-        import numpy as np
-
-        out, mark = [], np.frombuffer(self.newline, "<u4")[0]
-        for at in range(0, len(runs), 20_000):
-            joined = "".join([f"{before}{x}\n" for x in runs[at : at + 20_000]])
-            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            data, begin = ids.tobytes(), 0
-            for end in (4 * np.flatnonzero(ids == mark)).tolist():
-                out.append(data[begin:end])
-                begin = end + 4
-        return out
-
-    def _add(self, known: dict[str, bytes], new: set[str], before: str) -> None:
-        rest, tokenize, space = [], self.tokenizer.model.tokenize, "\u0120" if before else ""
-        for run in new - known.keys():
-            word = run[:-1] if run[-1:] in (".", ",") else run
-            if _WORD.fullmatch(word):  # one pre-token, straight to the vocabulary's merges
-                if (ids := known.get(word)) is None:
-                    ids = known[word] = array("I", [x.id for x in tokenize(space + word.translate(_BYTES))]).tobytes()
-                if word is not run:
-                    known[run] = ids + self.marks[run[-1]]
-            else:
-                rest.append(run)
-        if rest:
-            known.update(zip(rest, self._encode_runs(rest, before), strict=True))
-
-    def _bounded(self, known: dict[str, bytes], last: set[str]) -> dict[str, bytes]:
-        if len(known) <= self.most:
-            return known
-        stay = self.again & known.keys()
-        if len(stay) > self.most // 2:
-            stay = last
-        return {x: known[x] for x in stay}
+        self.most, self.runs = most, Runs(self.tokenizer)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text."""
+        if not text:
+            return b""
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD):
+            return b"".join(map(self.runs.encode, _SAFE.split(text)))
+        runs = text.replace("\n", " \n").split(" ")
+        runs[0] = "\n" + runs[0]
+        return b"".join(map(self.runs.__getitem__, runs))[len(self.runs.newline) :]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        plans, first, later, odd = [], set(), set(), {}
-        for text in texts:
-            if not text:
-                plans.append(None)
-                continue
-            if " ".join(text.split()) != text.replace("\n", " "):  # white space of another kind, or several together
-                runs = _SAFE.split(text)
-                odd.update(dict.fromkeys(runs, b""))
-                plans.append(runs)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            for runs in lines:
-                first.add(runs[0])
-                later.update(runs[1:])
-            plans.append(lines)
-        self.again |= later & self.later.keys()
-        self._add(self.first, first, "")
-        self._add(self.later, later, " ")
-        if odd:
-            odd = dict(zip(odd, self._encode(list(odd)), strict=True))
-        a, b = self.first.__getitem__, self.later.__getitem__
+        """The ids of each text."""
         out = []
-        for plan in plans:
-            if plan is None:
-                out.append(b"")
-            elif isinstance(plan[0], str):
-                out.append(b"".join(map(odd.__getitem__, plan)))
-            else:
-                out.append(self.newline.join([a(runs[0]) + b"".join(map(b, runs[1:])) for runs in plan]))
-        self.first = self._bounded(self.first, first)
-        if len(kept := self._bounded(self.later, later)) < len(self.later):
-            self.later, self.again = kept, set()
+        for text in texts:
+            out.append(self.encode(text))
+            if len(self.runs) > self.most // 2:
+                self.runs.old = dict(self.runs)
+                self.runs.clear()
         return out
 
 
