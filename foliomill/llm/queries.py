@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import lang_id, license_scan, packing, pii, token_output
+from foliomill.llm import decontaminate, exact_topk, lang_id, license_scan, packing, pii, token_output
 from foliomill.llm.common import id_crc_mod
 
 
@@ -39,6 +39,17 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.classify(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best partners of every hundredth vector, among all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of up to 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -48,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_license_scan": op2_license_scan,
     "op3_pii": op3_pii,
+    "op4_exact_topk": op4_exact_topk,
+    "op5_decontaminate": op5_decontaminate,
     "op10_lang_id": op10_lang_id,
     "op6_packing": op6_packing,
 }
