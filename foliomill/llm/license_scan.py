@@ -76,7 +76,8 @@ def scan(docs: DataFrame, coverage: float = 0.8, stretch: float = 1.5, gap: int
         "doc_id", "row", n.cast("long").alias("n_words"),
         F.concat(F.array(marker), F.when(n > 1, F.zip_with(F.slice("words", 1, n - 1), F.slice("words", 2, n - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.expr("cast(array() as array<bigint>)"))).alias("hashes"),
     )
-    placed = pairs.select("doc_id", "row", "n_words", F.posexplode("hashes").alias("place", "hash"))
+    # "outer" keeps Spark from adding a filter on the array's size, for which it would be made twice.
+    placed = pairs.select("doc_id", "row", "n_words", F.posexplode_outer("hashes").alias("place", "hash"))
     votes = (
         placed.join(F.broadcast(marked), "hash")
         .withColumn("diagonal", F.when(F.col("tid") < 0, F.lit(0)).otherwise(F.col("place") - 1 - F.col("at")))

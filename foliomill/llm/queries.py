@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontaminate, exact_topk, lang_id, license_scan, packing, pii, token_output
+from foliomill.llm import decontaminate, exact_topk, lang_id, license_scan, ngram_join, packing, pii, token_output
 from foliomill.llm.common import id_crc_mod
 
 
@@ -30,6 +30,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: four-word shingles, Jaccard 0.85."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_exact_topk": op4_exact_topk,
     "op5_decontaminate": op5_decontaminate,
+    "op9_ngram_join": op9_ngram_join,
     "op10_lang_id": op10_lang_id,
     "op6_packing": op6_packing,
 }
