@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontaminate, exact_topk, lang_id, license_scan, ngram_join, packing, pii, token_output
+from foliomill.llm import decontaminate, exact_topk, lang_id, license_scan, ngram_join, packing, pii, pitman_yor, token_output, toxicity
 from foliomill.llm.common import id_crc_mod
 
 
@@ -30,6 +30,20 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learnt from those not held out."""
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc_mod("doc_id", 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    rated = toxicity.rate(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return rated.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents: four-word shingles, Jaccard 0.85."""
     return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -66,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_exact_topk": op4_exact_topk,
     "op5_decontaminate": op5_decontaminate,
+    "op7_pitman_yor": op7_pitman_yor,
+    "op8_toxicity": op8_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_lang_id": op10_lang_id,
     "op6_packing": op6_packing,
