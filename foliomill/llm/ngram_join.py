@@ -33,10 +33,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from foliomill.llm.common import whole_text, written
+from foliomill.llm.common import flag_ids, whole_text, written
 
 SKETCH_BITS = 22
 SEGMENTS = 64
@@ -186,6 +187,14 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, rare: int = 64) -> Data
     their own; a null doc_id is never the least. Other columns are ignored; an
     empty table gives no rows.
     """
+    found = groups(docs, k, percent, rare)
+    alone = F.col("n") == 0
+    own = lambda c: F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def groups(docs: DataFrame, k: int, percent: int, rare: int = 64) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n, node (its set), label (its component), class_id, component_id, n_links; null from label on where n is 0."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     scanned = written(texts.mapInArrow(partial(_scan, k=k), "doc_id long, n long, node long, bits binary, segment int"), "texts")
@@ -240,11 +249,39 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, rare: int = 64) -> Data
     # nodes hold one text a partition; the least id of a set needs all rows
     classed = classed.drop("class_id").join(rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("class_id")), "node")
     least = classed.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    found = written(classed.join(least, "label").select("node", "class_id", "component_id", "n_links"), "classes")
-    empty = F.col("n") == 0
-    return rows.join(found, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    found = written(classed.join(least, "label").select("node", "label", "class_id", "component_id", "n_links"), "classes")
+    return rows.join(found, "node", "left").select("doc_id", "n", "node", "label", "class_id", "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row of least doc_id stays (nulls last, one of equal rows).
+
+    Rows without shingles all stay. Only rows of components with several rows
+    are joined with their texts.
+    """
+    found = written(groups(docs, k, percent), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "node")
+    first = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("held"), F.min(order).alias("first")).where(F.col("held") > 1)
+    members = found.join(first, "label").select("doc_id", "node", (F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))).alias("stays")).distinct()
+    members = written(members, "members")
+    flag, node = "_grouped", "_node"
+    while flag in docs.columns or node in docs.columns:
+        flag, node = flag + "_", node + "_"
+    flagged = flag_ids(docs, members, flag)
+    at_text = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(node, LongType())])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [xxhash.xxh3_64_intdigest(shingles("" if t is None else str(t), k).tobytes()) - 2**63 for t in batch.column(at_text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=schema.names)
+
+    some = flagged.where(flag).select(*docs.columns).mapInArrow(named, schema)
+    keys = members.select(F.col("doc_id").alias(f"{node}_doc"), F.col("node").alias(f"{node}_own"), F.col("stays").alias(flag))
+    joined = some.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{node}_doc")) & (F.col(node) == F.col(f"{node}_own")), "left").where(F.coalesce(flag, F.lit(True)))
+    one = F.row_number().over(Window.partitionBy("doc_id", node).orderBy("doc_id"))
+    kept = joined.withColumn(f"{node}_n", one).where(F.col(flag).isNull() | (F.col(f"{node}_n") == 1))
+    return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -268,26 +305,17 @@ def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perc
     """
     texts = texts.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63))))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(wanted.join(nodes.select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_key")), "node"), "wanted")
-    place = F.pmod(F.xxhash64("doc_key"), F.lit(1 << 23))
-    number, position = (F.call_function(f"bitmap_{x}", F.col("p") + 1) for x in ("bucket_number", "bit_position"))
-    bits = np.zeros(1 << 23, bool)
-    for row in wanted.select(place.alias("p")).groupBy(number.alias("bucket")).agg(F.call_function("bitmap_construct_agg", position).alias("bits")).collect():
-        begin = (row.bucket - 1) * 32768
-        bits[begin : begin + 32768] = np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little")
-    held = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    wanted = written(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
+    keys = wanted.select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_key"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = np.unpackbits(held.value)
         for batch in batches:
-            batch = batch.filter(pa.array(chosen[batch.column(2).to_numpy()].astype(bool)))
-            if batch.num_rows:
-                made = [shingles(x, k) for x in batch.column(1).to_pylist()]
-                names = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in made]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "doc_key", "tokens"])
-
-    made = texts.select("doc_key", "text", place.alias("p")).mapInArrow(sets, "node long, doc_key long, tokens binary")
-    one = written(made.join(wanted, ["node", "doc_key"], "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+            made = [shingles(x, k) for x in batch.column(1).to_pylist()]
+            names = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in made]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "doc_key", "tokens"])
+
+    made = flag_ids(texts, wanted, "wanted").where("wanted").select("doc_key", "text").mapInArrow(sets, "node long, doc_key long, tokens binary")
+    one = written(made.join(keys, ["node", "doc_key"], "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
     a, b = (one.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
