@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from foliomill.plans import document_queries, table_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = document_queries.QUERIES | table_queries.QUERIES
+ORACLES: dict[str, str] = document_queries.ORACLES | table_queries.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars").orderBy("n_chars")
+    """Sections, tier-1 scores, the five best, and an answer from their text."""
+    return document_queries.answer_topk(spark, sf_dir)
