@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontaminate, exact_topk, lang_id, license_scan, ngram_join, packing, pii, pitman_yor, token_output, toxicity
+from foliomill.llm import decontaminate, exact_topk, lang_id, license_scan, ngram_join, oracles, packing, pii, pitman_yor, token_output, toxicity
 from foliomill.llm.common import id_crc_mod
 
 
@@ -46,7 +46,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents: four-word shingles, Jaccard 0.85."""
-    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85).drop("n_links")
 
 
 def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lang_id": op10_lang_id,
     "op6_packing": op6_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": oracles.LICENSE,
+    "op3_pii": oracles.PII,
+    "op4_exact_topk": oracles.TOP_K,
+    "op5_decontaminate": oracles.LEAKS,
+    "op9_ngram_join": oracles.NEAR,
+}
