@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from foliomill.functions import text as T
 NODES = "doc_id long, node_id string, parent_id string, preorder int, depth int, title string, start_page int, end_page int, first int, last int"
 
 
+ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}[x.split()[1]]) for x in NODES.split(", ")])
+
+
 def grow(sections: list[tuple[int, str, int, set[str], str]], title: str, budget: int = 280, least: int = 2, threshold: float = 0.18, most: int = 4) -> list[tuple]:
     """TREE-1, TREE-2: nodes (id, parent, preorder, depth, title, first and last page, first and last section) of sections (page, id, words, tokens, heading).
 
@@ -24,8 +29,7 @@ def grow(sections: list[tuple[int, str, int, set[str], str]], title: str, budget
         out, begin, held = [], a, sections[a][2]
         for i in range(a + 1, b):
             x, y = sections[i - 1], sections[i]
-            union = x[3] | y[3]
-            unlike = (len(x[3] & y[3]) / len(union) if union else 1.0) < threshold and i - begin >= least and x[4].lower() != y[4].lower()
+            unlike = i - begin >= least and x[4].lower() != y[4].lower() and (len(x[3] & y[3]) / len(x[3] | y[3]) if x[3] | y[3] else 1.0) < threshold
             if unlike or held >= budget:
                 out.append((begin, i))
                 begin, held = i, 0
@@ -63,16 +67,22 @@ def grow(sections: list[tuple[int, str, int, set[str], str]], title: str, budget
 def build(sections: DataFrame, **options: float) -> DataFrame:
     """TREE-1 by document; a section's ``heading`` is empty where the column is missing."""
     heading = F.coalesce("heading", F.lit("")) if "heading" in sections.columns else F.lit("")
-    rows = sections.select("doc_id", "page_number", "section_id", T.word_budget(F.col("content")).alias("words"), T.token_set(F.col("content")).alias("tokens"), heading.alias("heading"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["page_number", "section_id"])
-        listed = list(zip(part.page_number, part.section_id, part.words, map(set, part.tokens), part.heading, strict=True))
-        made = pd.DataFrame(grow(listed, f"Document {part.doc_id.iloc[0]}", **options), columns=["node_id", "parent_id", "preorder", "depth", "title", "start_page", "end_page", "first", "last"])
-        made.insert(0, "doc_id", part.doc_id.iloc[0])
-        return made
-
-    return rows.groupBy("doc_id").applyInPandas(run, NODES)
+    # Tokens matter only where headings differ.
+    tokens = T.token_set(F.col("content")) if "heading" in sections.columns else F.expr("cast(array() as array<string>)")
+    one = F.struct("page_number", "section_id", T.word_budget(F.col("content")).alias("words"), tokens.alias("tokens"), heading.alias("heading"))
+    docs = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                listed = [(r["page_number"], r["section_id"], r["words"], set(r["tokens"]), r["heading"]) for r in rows]
+                made += [(doc, *node) for node in grow(listed, f"Document {doc}", **options)]
+            if made:
+                columns = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+
+    return docs.mapInArrow(run, NODES)
 
 
 def stats(nodes: DataFrame) -> DataFrame:
