@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,3 +107,30 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     listed = ids.select(F.col("doc_id").cast("long").alias(key)).distinct()
     rest = flagged.where(flag).join(listed, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
     return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(rest.select(*docs.columns))
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after seeing to it that Arrow batches of whole texts stay small (a session setting)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(name))
+    if held > rows or held <= 0:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
+_OWNER: list[str] = []
+_CLEAR: dict[str, Callable[[], None]] = {}
+
+
+def keeps_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Names what frees an operator's cache in a worker."""
+    _CLEAR[owner] = clear
+
+
+def begins(owner: str) -> None:
+    """Called in a worker as an operator begins there: workers are used again, and other operators' caches go."""
+    if _OWNER != [owner]:
+        for other, clear in _CLEAR.items():
+            if other != owner:
+                clear()
+        _OWNER[:] = [owner]

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from foliomill.llm.common import begins, small_batches
+
 UNKNOWN = "und"
 
 
@@ -99,7 +101,7 @@ def train(docs: DataFrame, learn_from: object, dims: int = 4096, landmarks: int
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in bits], pa.binary())], names=["lang", "draw", "bits"])
 
-    found = sorted((r.lang, r.draw, bytes(r.bits)) for r in drawn.drop("coarse").mapInArrow(pack, "lang string, draw long, bits binary").collect())
+    found = sorted((r.lang, r.draw, bytes(r.bits)) for r in small_batches(drawn.drop("coarse")).mapInArrow(pack, "lang string, draw long, bits binary").collect())
     kept, seen = [], dict.fromkeys(counts, 0)
     for lang, _, bits in found:
         if seen[lang] < each:
@@ -126,6 +128,7 @@ def classify(docs: DataFrame, model: Model, lang_column: str = "lang_pred", scor
     at_text = base.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("lang_id")
         m = held.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
@@ -142,4 +145,4 @@ def classify(docs: DataFrame, model: Model, lang_column: str = "lang_pred", scor
                         langs[i], scores[i] = m.langs[k], min(1.0, s)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs), pa.array(scores)], names=schema.names)
 
-    return source.mapInArrow(score, schema)
+    return small_batches(source).mapInArrow(score, schema)

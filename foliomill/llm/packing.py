@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm import tokens
-from foliomill.llm.common import whole_text
+from foliomill.llm.common import small_batches, whole_text
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -141,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         if rows:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))).mapInArrow(run, SCHEMA)
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import tokens
-from foliomill.llm.common import input_parts, new_path, whole_text
+from foliomill.llm.common import input_parts, new_path, small_batches, whole_text
 
 #: Widths in bits and counts of values of the fourteen selectors.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if docs_in:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
     dealt = rows.repartitionByRange(input_parts(rows), "doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 

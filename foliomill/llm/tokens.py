@@ -14,6 +14,8 @@ import re
 from array import array
 from collections.abc import Iterable
 
+from foliomill.llm.common import begins, keeps_cache
+
 #: White space other than a single space or newline, and places where two meet.
 _ODD = ("  ", "\n\n", " \n", "\n ", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -99,8 +101,12 @@ class Encoder:
 _ENCODERS: dict[str | None, Encoder] = {}
 
 
+keeps_cache("tokens", _ENCODERS.clear)
+
+
 def encoder(path: str | None = None) -> Encoder:
     """This worker's encoder for a vocabulary file."""
+    begins("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

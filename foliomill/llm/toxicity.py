@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from foliomill.llm.common import whole_text
+from foliomill.llm.common import begins, small_batches, whole_text
 
 WINDOW, STRIDE, GRAM = 64, 48, 6
 
@@ -168,6 +168,7 @@ def rate(docs: DataFrame, model: Model, score_column: str = "score") -> DataFram
     schema = StructType([*base.schema.fields, StructField(score_column, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("toxicity")
         m = held.value
         measure = Measure(m.ordinary, m.toxic)
         for batch in batches:
@@ -179,4 +180,4 @@ def rate(docs: DataFrame, model: Model, score_column: str = "score") -> DataFram
                 scores = 1 / (1 + np.exp(-np.clip(z @ m.weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
