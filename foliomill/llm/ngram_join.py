@@ -18,7 +18,8 @@ Texts with one set of tokens are one node from the start. A rare token's key
 has at most ``rare`` nodes. Keys of frequent combinations can have very many,
 which are then near copies for the most part, and no key's nodes are all
 paired: first each node meets one anchor, then only nodes of different
-components so far meet, until none is left. Before the exact
+components so far meet, where keys are crowded in blocks that are compared in
+a task. Before the exact
 comparison, parity bitmaps bound the number of tokens two sets differ by.
 Links and components are tables throughout; tables that several steps read are
 written to the shared folder.
@@ -31,19 +32,23 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foliomill.llm.common import flag_ids, whole_text, written
+from foliomill.llm.common import begins, flag_ids, keeps_cache, small_batches, whole_text, written
 
 SKETCH_BITS = 22
 SEGMENTS = 64
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
+SCANNED = ["doc_id", "n", "node", "bits", "segment"]
+
+
 class _Words(dict):
     """64-bit hash of each word; cleared by ``shingles`` when it has grown."""
 
@@ -53,6 +58,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+keeps_cache("words", _WORDS.clear)
 
 
 def shingles(text: str, k: int) -> np.ndarray:
@@ -60,7 +66,8 @@ def shingles(text: str, k: int) -> np.ndarray:
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    begins("words")
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
     codes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     k = min(k, len(codes))
@@ -92,8 +99,12 @@ def differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def keys_of(tokens: np.ndarray, classes: np.ndarray, percent: int, rare_class: int) -> np.ndarray:
-    """The keys of a set under which it meets every set linked with it."""
+def keys_of(tokens: np.ndarray, classes: np.ndarray, percent: int, rare_class: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set under which it meets every set linked with it, and how many of its tokens come before.
+
+    None of those before is shared with a set whose first key in common this
+    is: before a rare token all tokens, before a combination all rare ones.
+    """
     n = len(tokens)
     p = n - needed(n, percent) + 1
     kinds = classes[(tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
@@ -101,6 +112,7 @@ def keys_of(tokens: np.ndarray, classes: np.ndarray, percent: int, rare_class: i
     tokens, kinds = tokens[order], kinds[order]
     rare = int(np.searchsorted(kinds, rare_class, side="right"))
     keys = tokens[: min(p, rare)]
+    before = np.arange(len(keys), dtype=np.int32)
     if rare < p:  # else a set linked by frequent tokens alone would miss p of these
         largest = n * 100 // percent
         p_other = largest - needed(largest, percent) + 1
@@ -111,8 +123,9 @@ def keys_of(tokens: np.ndarray, classes: np.ndarray, percent: int, rare_class: i
         else:
             pairs = extended[:-1] * np.uint64(_MIX[1]) ^ extended[1:]
         singles = tokens[rare:] if n <= 3 else tokens[:0]
+        before = np.concatenate([before, np.full(len(pairs) + len(singles), rare, np.int32)])
         keys = np.concatenate([keys, pairs, singles])
-    return keys
+    return keys, before
 
 
 def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -131,7 +144,8 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens = shingles(text, k)
             node = xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
-            rows.append((doc, len(tokens), node, None if node in seen or not len(tokens) else bitmap(tokens)))
+            new = len(tokens) and node not in seen
+            rows.append((doc, len(tokens), node, bitmap(tokens) if new else None))
             if len(tokens) and node not in seen:
                 seen.add(node)
                 waiting.append(tokens)
@@ -141,12 +155,12 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         if rows:
             d, n, x, b = zip(*rows, strict=True)
             none = pa.nulls(len(rows), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(b, pa.binary()), none], names=["doc_id", "n", "node", "bits", "segment"])
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(b, pa.binary()), none], names=SCANNED)
     add()
     if counts.any():
         parts = np.minimum(counts, 65535).astype("<u2").reshape(SEGMENTS, -1)
         nulls = pa.nulls(SEGMENTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(range(SEGMENTS), pa.int32())], names=["doc_id", "n", "node", "bits", "segment"])
+        yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(range(SEGMENTS), pa.int32())], names=SCANNED)
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +210,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, rare: int = 64) -> Data
 def groups(docs: DataFrame, k: int, percent: int, rare: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n, node (its set), label (its component), class_id, component_id, n_links; null from label on where n is 0."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
     scanned = written(texts.mapInArrow(partial(_scan, k=k), "doc_id long, n long, node long, bits binary, segment int"), "texts")
     sums = scanned.where(F.col("segment").isNotNull()).select("segment", "bits").repartition(SEGMENTS, "segment").mapInArrow(_classes, "segment int, bits binary")
     classes = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS), np.uint8)
@@ -210,21 +224,23 @@ def groups(docs: DataFrame, k: int, percent: int, rare: int = 64) -> DataFrame:
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, ids, sizes = [], [], []
+            keys, ids, sizes, places = [], [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text, k)
                 node = xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
                 if len(tokens) and node not in seen:
                     seen.add(node)
-                    own = np.unique(keys_of(tokens, held.value, percent, rare_class))
+                    own, before = keys_of(tokens, held.value, percent, rare_class)
+                    own, first = np.unique(own, return_index=True)
                     keys.append(own.view(np.int64))
+                    places.append(before[first])
                     ids.append(np.full(len(own), node, np.int64))
                     sizes.append(np.full(len(own), len(tokens), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes)], names=["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes, places)], names=["key", "node", "n", "at"])
 
     # Keys of one node only are of no use; one pass leaves the others.
-    posts = texts.mapInArrow(posted, "key long, node long, n int")
+    posts = texts.mapInArrow(posted, "key long, node long, n int, at int")
     several = posts.groupBy("key").agg(F.min("node").alias("anchor"), F.max("node").alias("last")).where(F.col("anchor") < F.col("last")).select("key", "anchor")
     posts = written(posts.join(several, "key"), "posts")
     near = lambda x, y: (100 * F.least(x, y)) >= percent * F.greatest(x, y)
@@ -233,16 +249,14 @@ def groups(docs: DataFrame, k: int, percent: int, rare: int = 64) -> DataFrame:
     small = nodes.select("node", "n", "bits")
     links = written(_verified(texts, nodes, _similar(star, small, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), k, percent), "links")
     labels = components(links)
-    named = posts.select("key", "node", "n").distinct().join(F.broadcast(labels) if labels.count() < 20_000 else labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    named = written(named, "named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held")).where(F.col("low") < F.col("high"))
-    # In each key the commonest component's nodes meet only the others.
-    major = named.join(mixed.select("key"), "key", "left_semi").groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
-    left = named.join(major, "key").where(F.col("label") != F.col("major")).select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), "major")
-    right = named.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
-    apart = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("major")) | (F.col("a") < F.col("b")))
-    crossed = left.join(right, "key").where(apart & near(F.col("a_n"), F.col("b_n"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(links.select("a", "b").union(_verified(texts, nodes, _similar(crossed, small, percent), k, percent).select("a", "b")), "links")
+    named = posts.groupBy("key", "node").agg(F.max("n").alias("n"), F.min("at").alias("at"))
+    named = written(named.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label")), "named")
+    mixed = written(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held")).where(F.col("low") < F.col("high")).select("key", "held"), "mixed")
+    few = named.join(mixed.where(F.col("held") <= rare).select("key"), "key", "left_semi")
+    members = few.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at", "label")).alias("m"), F.min("node").alias("hub"))  # ``rare`` at most
+    crossed = members.repartition("hub").select("m").mapInArrow(partial(_apart, percent=percent), "a long, b long").distinct()
+    crowded = _crowds(texts, nodes, named.join(mixed.where(F.col("held") > rare).select("key"), "key", "left_semi"), k, percent)
+    links = written(links.select("a", "b").union(_verified(texts, nodes, _similar(crossed, small, percent), k, percent).select("a", "b")).union(crowded), "links")
     labels = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     classed = nodes.select("node", F.col("doc_id").alias("class_id")).join(labels, "node", "left").join(degree, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -297,15 +311,92 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return written(pairs.join(a, "a").join(b, "b").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(check, "a long, b long"), "pairs")
 
 
-def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets of tokens.
+def _apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of different components that a key could be the first in common of, each pair once a batch.
 
-    Texts are picked by a bit a hashed id, of fixed size; those that only
-    share a bit are dropped by the join.
+    Keys of the same texts mostly have the same least node and so come to one task.
+    """
+    found: dict[tuple[int, int], None] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = np.array(list(found), np.int64).reshape(-1, 2)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        lists = batch.column(0)
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        values = lists.flatten()
+        node, n, at, label = (values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            i, j = np.triu_indices(end - begin, 1)
+            i, j = i + begin, j + begin
+            shared = np.minimum(n[i] - at[i], n[j] - at[j])  # at most
+            good = (label[i] != label[j]) & (100 * shared >= percent * (n[i] + n[j] - shared))
+            x, y = node[i[good]], node[j[good]]
+            found.update(dict.fromkeys(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)))
+        if len(found) > 200_000:
+            yield out()
+    if found:
+        yield out()
+
+
+def _crowds(texts: DataFrame, nodes: DataFrame, named: DataFrame, k: int, percent: int, block: int = 256) -> DataFrame:
+    """Links between components among the nodes of crowded keys.
+
+    Keys that share nodes form one crowd, so that each pair is met once
+    and not under each of its keys. A crowd is dealt to blocks, and two blocks
+    are compared in one task: by bitmaps first, then, where the components are
+    still apart, by the whole sets.
+    """
+    hubs = named.groupBy("key").agg(F.min("node").alias("a"))
+    crowds = components(named.join(hubs, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct())
+    crowds = written(crowds.select("node", F.col("label").alias("crowd")).join(named.select("node", "label").distinct(), "node"), "crowds")
+    sets = _sets(texts, nodes, crowds.select("node"), k)
+    count = F.ceil(F.col("held") / block).cast("int")
+    sized = crowds.groupBy("crowd").agg(F.count("*").alias("held")).select("crowd", count.alias("blocks"))
+    dealt = crowds.join(sized, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    first = dealt.select("crowd", "node", "label", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
+    second = dealt.select("crowd", "node", "label", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = (rows[rows.side == s].reset_index(drop=True) for s in (0, 1))
+        found: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            parent = {v: v for v in rows.label}
+
+            def root(v: int) -> int:
+                while parent[v] != v:
+                    parent[v] = v = parent[parent[v]]
+                return v
+
+            x_sets, y_sets = ([np.frombuffer(t, np.uint64) for t in part.tokens] for part in (x, y))
+            x_bits, y_bits = (np.stack([np.frombuffer(np.packbits((np.bincount((t >> np.uint64(7)).astype(np.int64) & 4095, minlength=4096) & 1).astype(np.uint8)).tobytes(), np.uint64) for t in part]) for part in (x_sets, y_sets))
+            y_n = np.array([len(t) for t in y_sets])
+            for i, (node, label, tokens) in enumerate(zip(x.node, x.label, x_sets, strict=True)):
+                apart = np.bitwise_count(x_bits[i] ^ y_bits).sum(axis=1, dtype=np.int64)
+                near = (apart * (100 + percent) <= (100 - percent) * (len(tokens) + y_n)) & (y.label.to_numpy() != label)
+                for j in np.flatnonzero(near):
+                    a, b = root(label), root(y.label[j])
+                    if a != b:
+                        both = len(np.intersect1d(tokens, y_sets[j], assume_unique=True))
+                        if 100 * both >= percent * (len(tokens) + y_n[j] - both):
+                            parent[a] = b
+                            found.append((min(node, y.node[j]), max(node, y.node[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    grid = first.unionByName(second).join(sets, "node")
+    return grid.groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, tokens) of the wanted nodes, from one of their texts each.
+
+    Texts are picked by a filter of fixed size; those that it lets through for
+    nothing are dropped by the join.
     """
     texts = texts.withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63))))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
+    wanted = written(wanted.distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
     keys = wanted.select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_key"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +406,12 @@ def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perc
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "doc_key", "tokens"])
 
     made = flag_ids(texts, wanted, "wanted").where("wanted").select("doc_key", "text").mapInArrow(sets, "node long, doc_key long, tokens binary")
-    one = written(made.join(keys, ["node", "doc_key"], "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    return written(made.join(keys, ["node", "doc_key"], "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+
+
+def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link, by their whole sets of tokens."""
+    one = _sets(texts, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), k)
     a, b = (one.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
