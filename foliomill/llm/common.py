@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +138,12 @@ def begins(owner: str) -> None:
             if other != owner:
                 clear()
         _OWNER[:] = [owner]
+        gc.collect()
+        release()
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; an idle worker would hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may be another
+        ctypes.CDLL(None).malloc_trim(0)

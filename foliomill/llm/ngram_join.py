@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foliomill.llm.common import begins, flag_ids, keeps_cache, small_batches, whole_text, written
+from foliomill.llm.common import begins, flag_ids, keeps_cache, release, small_batches, whole_text, written
 
 SKETCH_BITS = 22
 SEGMENTS = 64
@@ -157,6 +157,7 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             none = pa.nulls(len(rows), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(b, pa.binary()), none], names=SCANNED)
     add()
+    _WORDS.clear()
     if counts.any():
         parts = np.minimum(counts, 65535).astype("<u2").reshape(SEGMENTS, -1)
         nulls = pa.nulls(SEGMENTS, pa.int64())
@@ -238,6 +239,8 @@ def groups(docs: DataFrame, k: int, percent: int, rare: int = 64) -> DataFrame:
                     sizes.append(np.full(len(own), len(tokens), np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes, places)], names=["key", "node", "n", "at"])
+        _WORDS.clear()
+        release()
 
     # Keys of one node only are of no use; one pass leaves the others.
     posts = texts.mapInArrow(posted, "key long, node long, n int, at int")
@@ -289,6 +292,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         for batch in batches:
             made = [xxhash.xxh3_64_intdigest(shingles("" if t is None else str(t), k).tobytes()) - 2**63 for t in batch.column(at_text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=schema.names)
+        _WORDS.clear()
+        release()
 
     some = flagged.where(flag).select(*docs.columns).mapInArrow(named, schema)
     keys = members.select(F.col("doc_id").alias(f"{node}_doc"), F.col("node").alias(f"{node}_own"), F.col("stays").alias(flag))
@@ -404,6 +409,8 @@ def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> Data
             made = [shingles(x, k) for x in batch.column(1).to_pylist()]
             names = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in made]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "doc_key", "tokens"])
+        _WORDS.clear()
+        release()
 
     made = flag_ids(texts, wanted, "wanted").where("wanted").select("doc_key", "text").mapInArrow(sets, "node long, doc_key long, tokens binary")
     return written(made.join(keys, ["node", "doc_key"], "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")

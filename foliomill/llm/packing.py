@@ -109,17 +109,18 @@ class Packer:
             self.window(self.tiers[-1], window)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_tokens: int = 8192, epoch: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_tokens: int = 8192, epoch: int = 4096, runs: int = 1_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     Null and empty texts are the end id alone; null and repeated doc_ids are
     packed row by row like others; other columns are ignored; an empty table
     gives no rows. Tiers are powers of two in descending order; each window is
-    full, but for the last of each input split.
+    full, but for the last of each input split. ``runs`` bounds the encoder's table
+    (about 200 bytes each): fewer take less memory and more time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, rows = tokens.encoder(tokenizer), []
+        coder, rows = tokens.encoder(tokenizer, runs), []
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 36, tiers, step_tokens, rows.append)
 

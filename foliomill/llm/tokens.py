@@ -98,18 +98,18 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
+_ENCODERS: dict[tuple[str | None, int], Encoder] = {}
 
 
 keeps_cache("tokens", _ENCODERS.clear)
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, most: int = 1_000_000) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     begins("tokens")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def chunks(texts: list[str], rows: int = 512, chars: int = 4_000_000) -> Iterable[tuple[int, list[str]]]:
