@@ -97,14 +97,14 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, row: dict, state: d
         bound = upper[i]
         if len(scores) >= k:
             near = np.flatnonzero(bound >= scores[-1])
-        elif n > 4 * k:
-            # The k-th best lower bound (one more, for the query itself) can't be beaten by less.
-            kth = np.partition(bound, n - k - 1)[n - k - 1] - 2 * (radius[i] + slack[i])
-            near = np.flatnonzero(bound >= kth)
         else:
             near = np.arange(n)
-        near = near[np.argsort(-bound[near], kind="stable")]
         near = near[ids[near] != own]
+        if len(scores) < k and len(near) > 4 * k:
+            # What is below the k-th best lower bound of the candidates can't be among the k.
+            kth = np.partition(bound[near], len(near) - k)[len(near) - k] - 2 * (radius[i] + slack[i])
+            near = near[bound[near] >= kth]
+        near = near[np.argsort(-bound[near], kind="stable")]
         at = 0
         while at < len(near) and (len(scores) < k or bound[near[at]] >= scores[-1]):
             some = near[at : at + 4 * k]

@@ -211,6 +211,24 @@ def test_exact_topk(spark):
     assert exact_topk.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_exact_topk_with_repeated_query_ids(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(300, 16)).round(2)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    ids = np.array([0] * 20 + list(range(20, 300)))
+    vectors[:20] = vectors[0]
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>").coalesce(1)
+    exact = np.floor(1024 * vectors).astype(np.int64)
+    found = exact_topk.top_k(table, table.where("vec_id in (0, 50)"), k=7, block=300).collect()
+    want = Counter()
+    for q, copies in ((0, 20), (50, 1)):
+        scores = exact @ exact[list(ids).index(q)]
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:7]
+        for n, i in enumerate(order):
+            want[(q, n + 1, int(ids[i]), int(scores[i]))] += copies
+    assert Counter(tuple(r) for r in found) == want
+
+
 def test_decontaminate(spark, docs, empty):
     rng = random.Random(5)
     items = [(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))) for i, n in enumerate((5, 14, 30, 60, 3))]
