@@ -84,8 +84,8 @@ def id_crc(value: object) -> int:
 FILTER_BITS = 1 << 23
 
 
-def flag_ids(docs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
-    """``docs`` with a boolean column: false only where doc_id is surely not in ``ids`` (doc_id, bigint; null is an id too).
+def flag_ids(docs: DataFrame, ids: DataFrame, flag: str, column: str = "doc_id") -> DataFrame:
+    """``docs`` with a boolean column: false only where ``column`` is surely not in ``ids`` (doc_id, bigint; null is an id too).
 
     Few rows are true besides those in ``ids``, so an exact join on what is
     flagged moves little of the texts.
@@ -94,22 +94,22 @@ def flag_ids(docs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
     bucket, spot, held = (f"{flag}_{x}" for x in ("bucket", "spot", "held"))
     marked = ids.select((place(F.col("doc_id")) + 1).alias("p"))
     filters = marked.groupBy(F.call_function("bitmap_bucket_number", F.col("p")).alias(bucket)).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("p"))).alias(held))
-    placed = docs.withColumn(spot, place(F.col("doc_id"))).withColumn(bucket, F.floor(F.col(spot) / 32768) + 1)
+    placed = docs.withColumn(spot, place(F.col(column))).withColumn(bucket, F.floor(F.col(spot) / 32768) + 1)
     joined = placed.join(F.broadcast(filters), bucket, "left")
     byte = F.conv(F.hex(F.substr(held, (F.floor(F.col(spot) % 32768 / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return joined.withColumn(flag, F.coalesce(F.getbit(byte, (F.col(spot) % 8).cast("int")) == 1, F.lit(False))).drop(bucket, spot, held)
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``ids``; null matches null."""
+def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose ``column`` is not in ``ids`` (doc_id, bigint); null matches null."""
     flag, key = "_listed", "_id"
     while flag in docs.columns:
         flag += "_"
     while key in docs.columns:
         key += "_"
-    flagged = flag_ids(docs, ids, flag)
+    flagged = flag_ids(docs, ids, flag, column)
     listed = ids.select(F.col("doc_id").cast("long").alias(key)).distinct()
-    rest = flagged.where(flag).join(listed, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
+    rest = flagged.where(flag).join(listed, F.col(column).cast("long").eqNullSafe(F.col(key)), "left_anti")
     return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 

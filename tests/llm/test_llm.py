@@ -422,3 +422,20 @@ def test_pipeline(spark, tmp_path):
         held[r.doc_id] += r.length
     assert all(held[d] == n for d, n in sizes.items() if not personal(dict(lettered)[d]))
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_with_null_and_shared_keys(spark, tmp_path):
+    import corpus_pipeline
+
+    leak = " ".join(f"leaked{i}" for i in range(30))
+    clean = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(6)]
+    rows = [(None, leak), (None, clean[0]), (None, clean[1]), (1, leak), (1, clean[2]), (1, clean[3]), (2, clean[4]), (3, clean[5]), (4, "12 34"), (5, None)]
+    docs = spark.createDataFrame([(*r, None, 1) for r in rows], "doc_id long, text string, lang string, _text int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stays = Counter(r for r in rows if r[1] != leak)
+    left = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and Counter((r.doc_id, r.text) for r in left.collect()) == stays
+    lettered = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in lettered.collect()) == Counter(r for r in rows if r[1] and r[1] != "12 34")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 1, 2, 3}
