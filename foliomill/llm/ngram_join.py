@@ -191,25 +191,31 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85, rare: int = 64) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, n_links.
+def join(docs: DataFrame, k: int = 4, percent: int = 85, rare: int = 64, count_links: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id and, with ``count_links``, n_links.
 
     Texts link when ``100 * |intersection| >= percent * |union|``;
     component_id is the least doc_id that links reach, class_id the least
-    doc_id with the same set, n_links the verified links of that set to others.
+    doc_id with the same set, n_links the number of other sets that set links
+    with. To count them, every pair of sets that may link is compared; for the
+    other columns those within one component are left out.
     Null or empty texts have no shingles and are linked with nothing; texts of
     fewer than ``k`` words are one shingle. Rows of equal doc_id are rows of
     their own; a null doc_id is never the least. Other columns are ignored; an
     empty table gives no rows.
     """
-    found = groups(docs, k, percent, rare)
+    found = groups(docs, k, percent, rare, every=count_links)
     alone = F.col("n") == 0
     own = lambda c: F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"), *counted)
 
 
-def groups(docs: DataFrame, k: int, percent: int, rare: int = 64) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n, node (its set), label (its component), class_id, component_id, n_links; null from label on where n is 0."""
+def groups(docs: DataFrame, k: int, percent: int, rare: int = 64, every: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n, node (its set), label (its component), class_id, component_id; null from label on where n is 0.
+
+    With ``every``, all links are found, not only those that join components, and n_links is their number.
+    """
     spark = docs.sparkSession
     texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
     scanned = written(texts.mapInArrow(partial(_scan, k=k), "doc_id long, n long, node long, bits binary, segment int"), "texts")
@@ -246,28 +252,34 @@ def groups(docs: DataFrame, k: int, percent: int, rare: int = 64) -> DataFrame:
     posts = texts.mapInArrow(posted, "key long, node long, n int, at int")
     several = posts.groupBy("key").agg(F.min("node").alias("anchor"), F.max("node").alias("last")).where(F.col("anchor") < F.col("last")).select("key", "anchor")
     posts = written(posts.join(several, "key"), "posts")
-    near = lambda x, y: (100 * F.least(x, y)) >= percent * F.greatest(x, y)
-    sizes = nodes.select(F.col("node").alias("anchor"), F.col("n").alias("anchor_n"))
-    star = posts.where(F.col("node") != F.col("anchor")).select("anchor", "node", "n").distinct().join(sizes, "anchor").where(near(F.col("n"), F.col("anchor_n"))).select(F.col("anchor").alias("a"), F.col("node").alias("b"))
     small = nodes.select("node", "n", "bits")
-    links = written(_verified(texts, nodes, _similar(star, small, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), k, percent), "links")
-    labels = components(links)
+    if every:  # each set is a component of its own, so no pair is left out
+        labels = nodes.select("node", F.col("node").alias("label"))
+    else:
+        near = lambda x, y: (100 * F.least(x, y)) >= percent * F.greatest(x, y)
+        sizes = nodes.select(F.col("node").alias("anchor"), F.col("n").alias("anchor_n"))
+        star = posts.where(F.col("node") != F.col("anchor")).select("anchor", "node", "n").distinct().join(sizes, "anchor").where(near(F.col("n"), F.col("anchor_n"))).select(F.col("anchor").alias("a"), F.col("node").alias("b"))
+        links = written(_verified(texts, nodes, _similar(star, small, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), k, percent), "links")
+        labels = components(links)
     named = posts.groupBy("key", "node").agg(F.max("n").alias("n"), F.min("at").alias("at"))
     named = written(named.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label")), "named")
     mixed = written(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held")).where(F.col("low") < F.col("high")).select("key", "held"), "mixed")
     few = named.join(mixed.where(F.col("held") <= rare).select("key"), "key", "left_semi")
     members = few.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at", "label")).alias("m"), F.min("node").alias("hub"))  # ``rare`` at most
     crossed = members.repartition("hub").select("m").mapInArrow(partial(_apart, percent=percent), "a long, b long").distinct()
-    crowded = _crowds(texts, nodes, named.join(mixed.where(F.col("held") > rare).select("key"), "key", "left_semi"), k, percent)
-    links = written(links.select("a", "b").union(_verified(texts, nodes, _similar(crossed, small, percent), k, percent).select("a", "b")).union(crowded), "links")
+    crowded = _crowds(texts, nodes, named.join(mixed.where(F.col("held") > rare).select("key"), "key", "left_semi"), k, percent, every)
+    more = _verified(texts, nodes, _similar(crossed, small, percent), k, percent).select("a", "b").union(crowded)
+    links = written(more.distinct() if every else links.select("a", "b").union(more), "links")
     labels = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classed = nodes.select("node", F.col("doc_id").alias("class_id")).join(labels, "node", "left").join(degree, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classed = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     # nodes hold one text a partition; the least id of a set needs all rows
-    classed = classed.drop("class_id").join(rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("class_id")), "node")
+    classed = classed.join(rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("class_id")), "node")
     least = classed.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    found = written(classed.join(least, "label").select("node", "label", "class_id", "component_id", "n_links"), "classes")
-    return rows.join(found, "node", "left").select("doc_id", "n", "node", "label", "class_id", "component_id", "n_links")
+    found = classed.join(least, "label").select("node", "label", "class_id", "component_id")
+    if every:
+        degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+        found = found.join(degree, "node", "left")
+    return rows.join(written(found, "classes"), "node", "left").select("doc_id", "n", *found.columns)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -346,8 +358,8 @@ def _apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield out()
 
 
-def _crowds(texts: DataFrame, nodes: DataFrame, named: DataFrame, k: int, percent: int, block: int = 256) -> DataFrame:
-    """Links between components among the nodes of crowded keys.
+def _crowds(texts: DataFrame, nodes: DataFrame, named: DataFrame, k: int, percent: int, every: bool = False, block: int = 256) -> DataFrame:
+    """Links between components, or with ``every`` all links, among the nodes of crowded keys.
 
     Keys that share nodes form one crowd, so that each pair is met once
     and not under each of its keys. A crowd is dealt to blocks, and two blocks
@@ -380,10 +392,10 @@ def _crowds(texts: DataFrame, nodes: DataFrame, named: DataFrame, k: int, percen
             y_n = np.array([len(t) for t in y_sets])
             for i, (node, label, tokens) in enumerate(zip(x.node, x.label, x_sets, strict=True)):
                 apart = np.bitwise_count(x_bits[i] ^ y_bits).sum(axis=1, dtype=np.int64)
-                near = (apart * (100 + percent) <= (100 - percent) * (len(tokens) + y_n)) & (y.label.to_numpy() != label)
+                near = (apart * (100 + percent) <= (100 - percent) * (len(tokens) + y_n)) & (y.label.to_numpy() != label)  # never itself
                 for j in np.flatnonzero(near):
                     a, b = root(label), root(y.label[j])
-                    if a != b:
+                    if every or a != b:
                         both = len(np.intersect1d(tokens, y_sets[j], assume_unique=True))
                         if 100 * both >= percent * (len(tokens) + y_n[j] - both):
                             parent[a] = b

@@ -46,7 +46,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents: four-word shingles, Jaccard 0.85."""
-    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85).drop("n_links")
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85, count_links=False)
 
 
 def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,6 +312,29 @@ def test_crowded_near_copies(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == linked(rows, 4, 85)
 
 
+@pytest.mark.parametrize("rare", [64, 4])
+def test_links_are_counted(spark, rare):
+    rng = random.Random(9)
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "one two")]
+    for group in range(3):
+        base = [f"g{group}w{rng.randint(0, 300)}" for _ in range(150)]
+        for i in range((5, 12, 25)[group]):
+            copy = list(base)
+            for _ in range(rng.randint(0, (0, 2, 4)[group])):
+                copy[rng.randrange(len(copy))] = f"c{group}x{i}x{rng.randint(0, 99)}"
+            rows.append((len(rows), " ".join([*copy, f"end{i}"])))
+    sets = {}
+    for d, t in rows:
+        w = (t or "").split()
+        sets[d] = frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset()
+    others = set(sets.values()) - {frozenset()}
+    want = {d: sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in others) if s else 0 for d, s in sets.items()}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = ngram_join.join(table, 4, 85, rare=rare).collect()
+    assert {r.doc_id: r.n_links for r in found} == want and [want[d] for d in range(4, 9)] == [4] * 5
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == linked(rows, 4, 85)
+
+
 def test_every_linked_pair_shares_a_key():
     rng = np.random.default_rng(4)
     for percent, (trial) in itertools.product((80, 85), range(150)):
