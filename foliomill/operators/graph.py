@@ -62,7 +62,7 @@ def similar_sparse(vectors: DataFrame, threshold: float = 0.45) -> DataFrame:
 
 
 def similar_dense(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """JN-5 for dense unit vectors (vec_id, embedding): all pairs a < b of at least ``threshold``, blocks of rows at a time.
+    """JN-5 for dense unit vectors (vec_id, embedding): all pairs a < b whose cosine, to six places, is ``threshold`` or more, blocks of rows at a time.
 
     Rows are dealt to blocks by hashed id; every pair of blocks is one row of
     the join and one matrix product in a task of its own.
@@ -84,7 +84,7 @@ def similar_dense(vectors: DataFrame, threshold: float, block: int = 1024) -> Da
             return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64"})
         scores = np.stack(a.embedding) @ np.stack(b.embedding).T
         same = rows.i.iloc[0] == rows.j.iloc[0]
-        x, y = np.nonzero(scores >= threshold - 1e-9)
+        x, y = np.nonzero(scores >= threshold - 1e-6)  # what rounding may raise to the threshold stays
         p, q = a.vec_id.to_numpy()[x], b.vec_id.to_numpy()[y]
         keep = p < q if same else p != q
         return pd.DataFrame({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "cosine": scores[x, y][keep]})
