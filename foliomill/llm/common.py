@@ -113,12 +113,13 @@ def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
     return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, after seeing to it that Arrow batches of whole texts stay small (a session setting)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(df.sparkSession.conf.get(name))
-    if held > rows or held <= 0:
-        df.sparkSession.conf.set(name, str(rows))
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> DataFrame:
+    """``df``, after seeing to it that Arrow batches stay small, in rows and bytes (two session settings, which nothing else reads)."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = int(conf.get(name).rstrip("b"))
+        if held > most or held <= 0:
+            conf.set(name, str(most))
     return df
 
 

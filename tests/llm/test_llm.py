@@ -378,7 +378,7 @@ def test_lang_id(spark, docs, empty):
 
 
 def test_pitman_yor(docs, empty):
-    small = pitman_yor.Options(contexts=8, block_tokens=500)
+    small = pitman_yor.Options(block_tokens=500)
     rows = pitman_yor.score(docs, small).collect()
     texts = [(r[0], (r[1] or "").encode().lower().split() + [b"\n"]) for r in corpus()]
     crc = lambda d: zlib.crc32(b"" if d is None else str(d).encode())
@@ -391,22 +391,58 @@ def test_pitman_yor(docs, empty):
     assert pitman_yor.score(empty).count() == 0
 
 
-def test_pitman_yor_sums_to_one():
-    o = pitman_yor.Options(contexts=4, samples=1)
-    hashes = np.arange(1, 6, dtype=np.uint64)
-    runs, contexts = np.full(5, 4, np.uint16), np.tile(np.arange(4, dtype=np.uint16), 5)
-    counts = np.arange(1, 21, dtype=np.uint32)
-    tables = pitman_yor.seat(counts.astype(np.int64), np.full(20, 0.5), o.discount, np.random.default_rng(0))
-    guests = tables.reshape(5, 4).sum(axis=1)
-    top = np.ones(5, np.int64)
-    totals = pitman_yor.Totals(int(counts.sum()), 5, np.bincount(contexts, counts).astype(float), [np.bincount(contexts, tables).astype(float)], [int(guests.sum())], [5])
-    known, _, parent, keys, values = pitman_yor._prepared([hashes, np.ones(5, np.int64), runs, contexts, counts, tables, guests, top], o, totals)
-    unseen = (o.root_strength + o.root_discount * 5) / 6 / (o.root_strength + guests.sum())
-    for u in range(4):
-        weight = o.strength + totals.customers[u]
-        above = (o.strength + o.discount * totals.tables[0][u]) / weight
-        own = sum(values[0][keys.tolist().index(w * 4 + u)] for w in range(5)) / weight
-        assert own + above * (parent[0].sum() + unseen) == pytest.approx(1)
+def test_pitman_yor_by_hand(spark, docs):
+    """The model's probabilities from its seatings in plain Python: they sum to one, and make up the scores."""
+    o = pitman_yor.Options(classes=4, least_contexts=16, most_contexts=16, burn=1, samples=2, apart=1)
+    texts = {(r[0], r[1]): (r[1] or "").encode().lower().split() + [b"\n"] for r in corpus()}
+    every = [(d, t, texts[d, t]) for d, t in ((r[0], r[1]) for r in corpus())]
+    context = lambda w: pitman_yor.context_of(w, o, 16)
+    number = {w: pitman_yor.xxhash.xxh3_64_intdigest(w) for ws in texts.values() for w in ws}
+    counts = Counter((number[w], context(a)) for d, _, ws in every if zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2 for a, w in zip([b"\n", *ws], ws, strict=False))
+    keys = sorted(counts)
+    known = sorted({w for w, _ in keys})
+    arrays = [np.array(known, np.uint64), np.array([sum(w == x for x, _ in keys) for w in known]), np.array([u for _, u in keys]), np.array([counts[k] for k in keys])]
+    part = pitman_yor.Part(arrays, o, 16)
+    customers, states = Counter(), []
+    for (_, u), n in counts.items():
+        customers[u] += n
+    for turn in range(3):
+        sums = pitman_yor.Totals.of(part.vector().astype(float), o, 16)
+        part.sweep(turn, sums, len(known))
+        if turn:
+            states.append(([dict(zip(keys, part.tables.tolist(), strict=True)), *(dict(zip([(known[w], c) for w, c in zip(part.group_word.tolist(), part.group_class.tolist(), strict=True)], x.tolist(), strict=True)) for x in (part.guests, part.group_tables)), *(dict(zip(known, x.tolist(), strict=True)) for x in (part.root, part.root_tables))]))
+
+    def probability(state, w, u):
+        tables, guests, group_tables, root, root_tables = state
+        top = (o.root_strength + o.root_discount * sum(root_tables.values())) / (len(known) + 1)
+        p = (root.get(w, 0) - o.root_discount * root_tables.get(w, 0) + top) / (o.root_strength + sum(root.values()))
+        c = u // 4
+        in_class = sum(v for (_, x), v in guests.items() if x == c), sum(v for (_, x), v in group_tables.items() if x == c)
+        p = (guests.get((w, c), 0) - o.class_discount * group_tables.get((w, c), 0) + (o.class_strength + o.class_discount * in_class[1]) * p) / (o.class_strength + in_class[0])
+        held = sum(v for (_, x), v in tables.items() if x == u)
+        return (counts.get((w, u), 0) - o.discount * tables.get((w, u), 0) + (o.strength + o.discount * held) * p) / (o.strength + customers[u])
+
+    assert all(1 <= t <= counts[k] for s in states for k, t in s[0].items()) and any(t > 1 for t in states[0][0].values())
+    for state in states:
+        for u in range(16):
+            assert sum(probability(state, w, u) for w in [*known, -1]) == pytest.approx(1)
+    some = every[::9]
+    want = Counter((d, round(sum(math.log10(sum(probability(s, number[w], context(a)) for s in states) / 2) for a, w in zip([b"\n", *ws], ws, strict=False)), 6)) for d, _, ws in some)
+    found = Counter((r.doc_id, round(r.score, 6)) for r in pitman_yor.score(docs, o).collect())
+    assert not want - found
+
+
+def test_pitman_yor_is_the_same_in_any_partitions(spark, docs):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    scores = []
+    try:
+        for parts in (2, 7, 19):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = pitman_yor.score(docs.repartition(parts), pitman_yor.Options(block_tokens=700 * parts)).collect()
+            scores.append(sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 8), round(r.score, 8)) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert scores[0] == scores[1] == scores[2]
 
 
 def test_toxicity(spark, docs, empty):
