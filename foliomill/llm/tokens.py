@@ -74,13 +74,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.most, self.runs = most, Runs(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text."""
         if not text:
             return b""
+        if self.added and self.added.search(text):  # the library cuts such a text at its added tokens first
+            return self.runs.encode(text)
         if text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD):
             return b"".join(map(self.runs.encode, _SAFE.split(text)))
         runs = text.replace("\n", " \n").split(" ")

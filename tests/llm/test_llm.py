@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -37,7 +38,7 @@ def corpus() -> list[tuple]:
     texts += [("en", texts[1][1])] * 3
     texts += [("en", "mail a.b@x.example.org, call +44 20 7946 0958 or 4111 1111 1111 1111 from 10.0.0.300 and 10.0.0.3.")]
     texts += [("en", "Released under the MIT License. The Apache Licence; licensed under the Apache License, Version 2.0. GNU General Public License mit license mit license")]
-    texts += [("en", "IBAN GB82 WEST 1234 5698 7654 32 and é é 5.5.5.5"), (None, None), ("en", ""), ("en", "  \t\n "), ("en", "123 456"), ("de", "x"), ("en", "one two three")]
+    texts += [("en", "IBAN GB82 WEST 1234 5698 7654 32 and é é 5.5.5.5"), (None, None), ("en", ""), ("en", "  \t\n "), ("en", "123 456"), ("de", "x"), ("en", "one two three"), ("en", "one <|endoftext|> two<|endoftext|>")]
     rows = [(i, t, lang, "s", 0, "w", "n", "r", "h") for i, (lang, t) in enumerate(texts)]
     return [*rows, rows[5], (None, "a row without an id " * 9, "en", None, None, None, None, None, None)]
 
@@ -52,8 +53,17 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@functools.cache
+def plain_tokenizer():
+    """The library as it is, apart from the operators' encoder."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def ids_of(text: str | None) -> np.ndarray:
-    made = tokens.encoder().tokenizer.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids
+    made = plain_tokenizer().encode(text or "", add_special_tokens=False).ids
     return np.asarray([*made, 0], "<u4")
 
 
@@ -62,6 +72,7 @@ def test_encoder_equals_library():
     coder = tokens.Encoder(most=4)
     for text in odd * 2:
         assert coder.batch([text])[0] == ids_of(text)[:-1].tobytes()
+    assert ids_of("hi<|endoftext|> there").tolist() == [5303, 50256, 612, 0]
 
 
 @pytest.mark.parametrize("ids", [[], [5], [2**32 - 1, 7, 7], list(range(2000)), [1] * 5000])
