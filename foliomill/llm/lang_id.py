@@ -78,12 +78,14 @@ def fit(rows: list[tuple[str, np.ndarray]], dims: int, landmarks: int, ridge: fl
 def train(docs: DataFrame, learn_from: object, dims: int = 4096, landmarks: int = 192, per_lang: int = 500, most_rows: int = 4000, ridge: float = 1e-3) -> Model:
     """Fits on rows where the condition ``learn_from`` holds, lang is not null and the text has a letter.
 
-    Of each language the ``per_lang`` rows of smallest hashed doc_id are taken
-    (fewer where ``most_rows`` would be passed). No such rows: a model that
-    knows no language.
+    Of each language the ``per_lang`` rows of smallest hashed doc_id and text
+    are taken (fewer where ``most_rows`` would be passed); repeated rows count
+    once, ids may be null or shared, empty texts teach nothing, very long ones
+    are one vector of presence like others. No such rows: a model that knows
+    no language.
     """
     rows = docs.where(learn_from & F.col("lang").isNotNull()).select(
-        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("coarse")
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw")
     )
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -91,7 +93,7 @@ def train(docs: DataFrame, learn_from: object, dims: int = 4096, landmarks: int
     each = max(1, min(per_lang, most_rows // len(counts)))
     # A hash threshold that leaves somewhat more than is needed; the surplus is cut below.
     most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (1.5 * each + 20) / n) * (1 << 30)))])
-    drawn = rows.where((F.col("coarse") < most[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    drawn = rows.where((F.col("draw") < most[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +103,10 @@ def train(docs: DataFrame, learn_from: object, dims: int = 4096, landmarks: int
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in bits], pa.binary())], names=["lang", "draw", "bits"])
 
-    found = sorted((r.lang, r.draw, bytes(r.bits)) for r in small_batches(drawn.drop("coarse")).mapInArrow(pack, "lang string, draw long, bits binary").collect())
+    packed = small_batches(drawn).mapInArrow(pack, "lang string, draw long, bits binary")
+    # Repeated rows are drawn together or not at all, and count once.
+    once = packed.groupBy("lang", "draw").agg(F.min("bits").alias("bits"))
+    found = sorted((r.lang, r.draw, bytes(r.bits)) for r in once.collect())
     kept, seen = [], dict.fromkeys(counts, 0)
     for lang, _, bits in found:
         if seen[lang] < each:
@@ -114,7 +119,8 @@ def classify(docs: DataFrame, model: Model, lang_column: str = "lang_pred", scor
     """Every row of ``docs`` with its columns, the predicted language and a score from 0 to 1.
 
     Null texts and texts without a letter are ``und`` with score 0, as is
-    everything where the model knows no language. Empty and repeated rows,
+    everything where the model knows no language; of equal scores the first
+    language by name wins. Very long texts are read whole. Repeated rows,
     null ids and further columns pass unchanged; columns named like the new
     ones are replaced.
     """
