@@ -61,13 +61,19 @@ _WORDS = _Words()
 keeps_cache("words", _WORDS.clear)
 
 
-def shingles(text: str, k: int) -> np.ndarray:
+def encoded(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a string column as UTF-8, one at a time."""
+    for text in column:
+        yield text.as_buffer().to_pybytes()
+
+
+def shingles(text: str | bytes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``k`` words; of all words together if they are fewer; words end at ASCII white space."""
-    words = text.encode("utf-8", "replace").lower().split()
+    words = (text if isinstance(text, bytes) else text.encode("utf-8", "replace")).lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     begins("words")
-    if len(_WORDS) > 300_000:
+    if len(_WORDS) > 100_000:
         _WORDS.clear()
     codes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     k = min(k, len(codes))
@@ -130,38 +136,29 @@ def keys_of(tokens: np.ndarray, classes: np.ndarray, percent: int, rare_class: i
 
 def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row a text (doc_id, n, node, bits) and at the end the partition's counts of tokens by slot, in segments."""
-    counts, seen, waiting, size = np.zeros(1 << SKETCH_BITS, np.uint32), set(), [], 0
-
-    def add() -> None:
-        nonlocal counts, waiting, size
-        if waiting:
-            slots = (np.concatenate(waiting) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-            counts += np.bincount(slots, minlength=1 << SKETCH_BITS).astype(np.uint32)
-            waiting, size = [], 0
-
+    counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
     for batch in batches:
         rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
             tokens = shingles(text, k)
             node = xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
             new = len(tokens) and node not in seen
             rows.append((doc, len(tokens), node, bitmap(tokens) if new else None))
-            if len(tokens) and node not in seen:
+            if new:
                 seen.add(node)
-                waiting.append(tokens)
-                size += len(tokens)
-                if size > 2_000_000:
-                    add()
+                np.add.at(counts, (tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.intp), np.uint32(1))
         if rows:
             d, n, x, b = zip(*rows, strict=True)
             none = pa.nulls(len(rows), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(b, pa.binary()), none], names=SCANNED)
-    add()
     _WORDS.clear()
     if counts.any():
-        parts = np.minimum(counts, 65535).astype("<u2").reshape(SEGMENTS, -1)
-        nulls = pa.nulls(SEGMENTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(range(SEGMENTS), pa.int32())], names=SCANNED)
+        null = pa.nulls(1, pa.int64())
+        for segment, part in enumerate(counts.reshape(SEGMENTS, -1)):
+            bits = np.minimum(part, 65535).astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([null, null, null, pa.array([bits], pa.binary()), pa.array([segment], pa.int32())], names=SCANNED)
+    del counts
+    release()
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +229,7 @@ def groups(docs: DataFrame, k: int, percent: int, rare: int = 64, every: bool =
         seen: set[int] = set()
         for batch in batches:
             keys, ids, sizes, places = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in encoded(batch.column(1)):
                 tokens = shingles(text, k)
                 node = xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
                 if len(tokens) and node not in seen:
@@ -418,7 +415,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> Data
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(x, k) for x in batch.column(1).to_pylist()]
+            made = [shingles(x, k) for x in encoded(batch.column(1))]
             names = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in made]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "doc_key", "tokens"])
         _WORDS.clear()
