@@ -83,7 +83,8 @@ class Engine:
         walked = walked.withColumn("confidence", F.lit(0.75)).withColumn("order", F.col("hops").cast("double")).drop("hops")
         plain = asked.join(seeds.select("query_id").distinct(), "query_id", "left_anti")
         leaves = nodes.where("depth > 0")
-        chosen = search.tier1_selected(search.tier1_scores(plain, leaves.where("depth = 1")))
+        top = leaves.where("depth = 1")
+        chosen = search.tier1_selected(search.with_zeros(search.tier1_scores(plain, top), plain, top))
         found = search.tier2(plain, leaves, chosen).withColumn("order", -F.col("confidence"))
         both = found.select("query_id", "doc_id", "node_id", "confidence", "order").unionByName(walked.select("query_id", "doc_id", "node_id", "confidence", "order"))
         ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("order", "doc_id", "node_id"))).where(F.col("rank") <= k).drop("order")

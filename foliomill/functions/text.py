@@ -16,6 +16,7 @@ POSITIVE_TOKENS = ("increase", "growth", "up", "gain", "profit", "improve")
 MULTI_DOC_CUES = ("compare", "vs", "versus", "difference between")
 GRAPH_CUES = ("refer", "references", "cite", "what cites", "connected")
 FOLLOW_UPS = ("what about", "how about", "and ", "it ", "that ")
+CONTEXT = " Context from previous turn: "
 QUERY_STOPWORDS = ("what", "which", "where", "when", "who", "why", "how", "this", "that", "these", "those")
 
 
@@ -61,21 +62,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """FN-6: runs of capitalised words of three letters and more, and numbers; distinct."""
-    names = F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*\b"), F.lit(0))
-    numbers = F.regexp_extract_all(text, F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0))
+    """FN-6: runs of capitalised words of three letters and more, and numbers; distinct. Words end as Unicode has it."""
+    names = F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*\b"), F.lit(0))
+    numbers = F.regexp_extract_all(text, F.lit(r"(?U)\b\d+(?:\.\d+)?\b"), F.lit(0))
     return F.array_union(names, numbers)
 
 
 def cross_references(text: Column) -> Column:
     """FN-7: mentions of tables, sections, appendices and figures, white space collapsed; sorted distinct (DST-5)."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:table|section|appendix|figure)\s+[A-Z0-9][A-Za-z0-9.\-]*"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:table|section|appendix|figure)\s+[A-Z0-9][A-Za-z0-9.\-]*\b"), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.rtrim(F.regexp_replace(x, r"\s+", " "), F.lit(".")))))
 
 
 def query_entities(query: Column) -> Column:
     """FN-8: references or capitalised runs of a query, without question words; sorted distinct. A final dot is dropped."""
-    found = F.regexp_extract_all(query, F.lit(r"\b(?:(?:Table|Section)\s+[A-Za-z0-9.\-]+|[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*)"), F.lit(0))
+    found = F.regexp_extract_all(query, F.lit(r"(?U)\b(?:(?:Table|Section)\s+[A-Za-z0-9.\-]+|[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*)"), F.lit(0))
     kept = F.filter(F.transform(found, lambda x: F.rtrim(x, F.lit("."))), lambda x: ~F.lower(x).isin(*QUERY_STOPWORDS))
     return F.array_sort(F.array_distinct(kept))
 
@@ -93,13 +94,13 @@ def intent(query: Column) -> Column:
     return F.when(_any(low, MULTI_DOC_CUES), "multi_doc").when(_any(low, GRAPH_CUES), "graph").otherwise("single_doc")
 
 
-def rewritten(query: Column, previous: Column) -> Column:
-    """FN-10: a follow-up names the query before it."""
+def follows(query: Column) -> Column:
+    """FN-10: whether a query begins like a follow-up."""
     low = F.lower(query)
-    follows = F.lit(False)
+    test = F.lit(False)
     for cue in FOLLOW_UPS:
-        follows = follows | F.startswith(low, F.lit(cue))
-    return F.when(follows & previous.isNotNull(), F.concat(query, F.lit(" Context from previous turn: "), previous)).otherwise(query)
+        test = test | F.startswith(low, F.lit(cue))
+    return test
 
 
 def edge_types(query: Column) -> Column:

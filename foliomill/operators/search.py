@@ -9,10 +9,18 @@ from foliomill.functions import text as T
 
 
 def analyse(turns: DataFrame) -> DataFrame:
-    """FN-8..11, WIN-6: one row per user turn: the rewritten query, its intent and entities."""
-    users = turns.where(F.col("role") == "user")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = users.select("conv_id", "turn", "text", before.alias("previous")).withColumn("rewritten_query", T.rewritten(F.col("text"), F.col("previous")))
+    """FN-8..11, WIN-6: one row per user turn: the rewritten query, its intent and entities.
+
+    A follow-up names the rewritten query before it: its run's turns, back to
+    one that is no follow-up. Null texts are queries without text; turns of
+    equal number go by text.
+    """
+    users = turns.where(F.col("role") == "user").select("conv_id", "turn", T.strip(F.coalesce("text", F.lit(""))).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "text")
+    begins = ~T.follows(F.col("text")) | (F.row_number().over(order) == 1)
+    numbered = users.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = F.collect_list("text").over(Window.partitionBy("conv_id", "run").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = numbered.withColumn("rewritten_query", F.array_join(F.reverse(so_far), T.CONTEXT))
     return rows.select("conv_id", "turn", "rewritten_query", T.intent(F.col("rewritten_query")).alias("intent_type"), T.query_entities(F.col("rewritten_query")).alias("entities"))
 
 
@@ -28,8 +36,25 @@ def tier1_scores(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return shared.select("query_id", "doc_id", "node_id", "preorder", (F.col("shared") / F.col("n")).alias("score"))
 
 
+def with_zeros(scores: DataFrame, queries: DataFrame, nodes: DataFrame, fallback: int = 3) -> DataFrame:
+    """Tier-1 scores and, with score 0, those of the first ``fallback`` nodes of each document that share no token with a query.
+
+    A document has less than ``fallback`` nodes with a token where the
+    fallback of ``tier1_selected`` needs others, so these suffice. The result
+    has rows for every query and document by definition; each query meets the
+    heads of documents only, not their nodes.
+    """
+    heads = nodes.select("doc_id", "node_id", "preorder", F.row_number().over(Window.partitionBy("doc_id").orderBy("preorder")).alias("n")).where(F.col("n") <= fallback).drop("n")
+    every = heads.crossJoin(queries.select("query_id").distinct()).select("query_id", "doc_id", "node_id", "preorder")
+    others = every.join(scores.select("query_id", "doc_id", "node_id"), ["query_id", "doc_id", "node_id"], "left_anti")
+    return scores.unionByName(others.withColumn("score", F.lit(0.0)))
+
+
 def tier1_selected(scores: DataFrame, threshold: float = 0.1, fallback: int = 3) -> DataFrame:
-    """FLT-5, TOP-1: scores of at least ``threshold`` by (query, document); without any, the ``fallback`` best, ties in reading order."""
+    """FLT-5, TOP-1: scores of at least ``threshold`` by (query, document); without any, the ``fallback`` best, ties in reading order.
+
+    ``scores`` are those of ``with_zeros`` where nodes without a shared token can be among the best.
+    """
     by = Window.partitionBy("query_id", "doc_id")
     rows = scores.withColumn("best", F.max("score").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "preorder")))
     return rows.where((F.col("score") >= threshold) | ((F.col("best") < threshold) & (F.col("rank") <= fallback))).drop("best", "rank")
@@ -79,8 +104,10 @@ def affinity_split(nodes: DataFrame, affinity: DataFrame, threshold: float = 0.8
 
 def seed_prune(children: DataFrame, seeds: DataFrame) -> DataFrame:
     """FLT-4: (node_id, descendant) of root children; kept if the child or any descendant is a seed; all if there are no seeds."""
-    hit = children.join(seeds.select(F.col("node_id").alias("seed")), (F.col("seed") == F.col("node_id")) | (F.col("seed") == F.col("descendant")), "left_semi")
-    return hit.select("node_id").distinct()
+    own = children.join(seeds.select("node_id"), "node_id", "left_semi").select("node_id")
+    below = children.join(seeds.select(F.col("node_id").alias("descendant")), "descendant", "left_semi").select("node_id")
+    unseeded = children.join(F.broadcast(seeds.select(F.lit(1).alias("_any")).limit(1)), F.lit(True), "left_anti").select("node_id")  # one row
+    return own.union(below).union(unseeded).distinct()
 
 
 def retrieve(candidates: DataFrame, nodes: DataFrame, sections: DataFrame) -> DataFrame:

@@ -40,27 +40,19 @@ def word_budget(spark: SparkSession, d: str) -> DataFrame:
     return sections.budgets(_lines(spark, d), limit=1000)
 
 
-def _english(spark: SparkSession, d: str) -> DataFrame:
-    """English documents of ASCII characters, for which the dialects of regular expressions agree."""
-    return table(spark, d, "documents").where((F.col("lang") == "en") & (F.length("text") == F.octet_length("text")))
-
-
-ENGLISH = "english AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND length(text) = strlen(text))"
-
-
 def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
-    return sections.keywords(_english(spark, d))
+    return sections.keywords(table(spark, d, "documents"))
 
 
 KEYWORDS = f"""
-toks AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS token, generate_subscripts({TOKENS.format('text')}, 1) AS pos FROM english),
+toks AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS token, generate_subscripts({TOKENS.format('text')}, 1) AS pos FROM documents),
 counted AS (SELECT doc_id, token, count(*) AS n, min(pos) AS first FROM toks WHERE length(token) >= 4 GROUP BY ALL),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS INTEGER) AS rank FROM counted)
 """
 
 
 def heuristic_summary(spark: SparkSession, d: str) -> DataFrame:
-    docs = _english(spark, d)
+    docs = table(spark, d, "documents")
     words = sections.keywords(docs).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("keywords"))
     label = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
     pages = F.size(F.filter(F.split("text", "\n"), lambda x: T.strip(x) != ""))
@@ -69,7 +61,7 @@ def heuristic_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_index(spark: SparkSession, d: str) -> DataFrame:
-    docs = _english(spark, d)
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.explode(T.entities(F.col("text"))).alias("entity")).distinct()
 
 
@@ -83,9 +75,7 @@ def intent_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_entities(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = F.length("text") == F.octet_length("text")
-    rows = table(spark, d, "conversations").where(ascii_only)
-    return rows.select("conv_id", "turn", F.array_join(T.query_entities(F.col("text")), "|").alias("entities"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.query_entities(F.col("text")), "|").alias("entities"))
 
 
 def followup_rewrite(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +120,8 @@ def tier1_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tier1_selected(spark: SparkSession, d: str) -> DataFrame:
-    chosen = search.tier1_selected(search.tier1_scores(_question(spark), _nodes(spark, d)), threshold=0.7)
+    question, nodes = _question(spark), _nodes(spark, d)
+    chosen = search.tier1_selected(search.with_zeros(search.tier1_scores(question, nodes), question, nodes), threshold=0.7)
     return chosen.select("doc_id", "node_id", F.round("score", 6).alias("score"))
 
 
@@ -143,9 +134,9 @@ hits AS (SELECT * FROM scored WHERE score > 0)
 
 
 def tier2_candidates(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d)
-    chosen = search.tier1_selected(search.tier1_scores(_question(spark), nodes))
-    return search.tier2(_question(spark), nodes, chosen)
+    question, nodes = _question(spark), _nodes(spark, d)
+    chosen = search.tier1_selected(search.with_zeros(search.tier1_scores(question, nodes), question, nodes))
+    return search.tier2(question, nodes, chosen)
 
 
 def retrieve_page_range(spark: SparkSession, d: str) -> DataFrame:
@@ -228,16 +219,12 @@ SELECT doc_id, printf('sec_%04d', page_number) AS section_id, page_number, conte
     "word_budget": rf"""
 WITH {LINES}, counted AS (SELECT doc_id, greatest(1, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> ''))) AS w FROM sections)
 SELECT doc_id, CAST(sum(w) AS BIGINT) AS n_words, count(*) AS n_sections, sum(w) <= 1000 AS admitted FROM counted GROUP BY doc_id""",
-    "keyword_topk": f"WITH {ENGLISH}, {KEYWORDS} SELECT doc_id, rank, token, n FROM ranked WHERE rank <= 4",
+    "keyword_topk": f"WITH {KEYWORDS} SELECT doc_id, rank, token, n FROM ranked WHERE rank <= 4",
     "heuristic_summary": rf"""
-WITH {ENGLISH}, {KEYWORDS}, words AS (SELECT doc_id, string_agg(token, ', ' ORDER BY rank) AS k FROM ranked WHERE rank <= 4 GROUP BY doc_id),
-pages AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '')) AS n FROM english)
+WITH {KEYWORDS}, words AS (SELECT doc_id, string_agg(token, ', ' ORDER BY rank) AS k FROM ranked WHERE rank <= 4 GROUP BY doc_id),
+pages AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '')) AS n FROM documents)
 SELECT doc_id, 'Document ' || doc_id || ': covers pages 1-' || n || CASE WHEN k IS NULL THEN '' ELSE '; keywords: ' || k END || '. Summary: '
- || CASE WHEN length(text) > 0 THEN substring(text, 1, 220) ELSE 'No content' END AS summary FROM english JOIN pages USING (doc_id) LEFT JOIN words USING (doc_id)""",
-    "entity_index": rf"""
-WITH {ENGLISH} SELECT DISTINCT doc_id, entity FROM (
- SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-zA-Z]{{2,}}(?:\s+[A-Z][a-zA-Z]{{2,}})*\b')) AS entity FROM english
- UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\b\d+(?:\.\d+)?\b')) FROM english)""",
+ || CASE WHEN length(text) > 0 THEN substring(text, 1, 220) ELSE 'No content' END AS summary FROM documents JOIN pages USING (doc_id) LEFT JOIN words USING (doc_id)""",
     "intent_classify": f"""
 WITH cued AS (SELECT conv_id, turn, lower(CASE turn % 3 WHEN 0 THEN 'Compare ' WHEN 1 THEN 'What cites ' ELSE '' END || text) AS q FROM conversations)
 SELECT conv_id, turn, {_INTENT} AS intent_type FROM cued""",
@@ -245,11 +232,14 @@ SELECT conv_id, turn, {_INTENT} AS intent_type FROM cued""",
 SELECT conv_id, turn, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text,
  '\b(?:(?:Table|Section)\s+[A-Za-z0-9.\-]+|[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*)'), lambda x: rtrim(x, '.')),
  lambda x: lower(x) NOT IN ('what', 'which', 'where', 'when', 'who', 'why', 'how', 'this', 'that', 'these', 'those')))), '|'), '') AS entities
-FROM conversations WHERE length(text) = strlen(text)""",
-    "followup_rewrite": """
-WITH users AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE WHEN previous IS NOT NULL AND (starts_with(lower(text), 'what about') OR starts_with(lower(text), 'how about') OR starts_with(lower(text), 'and ')
- OR starts_with(lower(text), 'it ') OR starts_with(lower(text), 'that ')) THEN text || ' Context from previous turn: ' || previous ELSE text END AS rewritten_query FROM users""",
+FROM conversations""",
+    "followup_rewrite": r"""
+WITH RECURSIVE users AS (SELECT conv_id, turn, q, row_number() OVER (PARTITION BY conv_id ORDER BY turn, q) AS n,
+ starts_with(lower(q), 'what about') OR starts_with(lower(q), 'how about') OR starts_with(lower(q), 'and ') OR starts_with(lower(q), 'it ') OR starts_with(lower(q), 'that ') AS follows
+ FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS q FROM conversations WHERE role = 'user')),
+fold AS (SELECT conv_id, turn, n, q AS rewritten_query FROM users WHERE n = 1
+ UNION ALL SELECT u.conv_id, u.turn, u.n, CASE WHEN follows THEN q || ' Context from previous turn: ' || f.rewritten_query ELSE q END FROM fold f JOIN users u ON u.conv_id = f.conv_id AND u.n = f.n + 1)
+SELECT conv_id, turn, rewritten_query FROM fold""",
     "query_embedding": f"""
 WITH toks AS (SELECT conv_id, turn, unnest({TOKENS.format('text')}) AS t FROM conversations),
 hashed AS (SELECT conv_id, turn, sha1(t) AS h FROM toks),
@@ -262,7 +252,7 @@ SELECT conv_id, turn, dim, round(v / norm, 6) AS v FROM summed JOIN norms USING
 SELECT conv_id, turn, recency FROM (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS recency FROM conversations) WHERE recency <= 6""",
     "tier1_scores": f"WITH {TIER1} SELECT doc_id, node_id, round(score, 6) AS score FROM hits",
     "tier1_selected": f"""
-WITH {TIER1}, ranked AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_number) AS rank FROM hits)
+WITH {TIER1}, ranked AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_number) AS rank FROM scored)
 SELECT doc_id, node_id, round(score, 6) AS score FROM ranked WHERE score >= 0.7 OR (best < 0.7 AND rank <= 3)""",
     "retrieve_page_range": f"""
 WITH {LINES} SELECT doc_id, '2-3' AS pages, string_agg(content, chr(10) ORDER BY page_number) AS content FROM sections WHERE page_number BETWEEN 2 AND 3 GROUP BY doc_id""",

@@ -106,7 +106,7 @@ def entity_seed_prune(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"))
     pairs = geo.where("depth = 2").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("descendant"))
     both = pairs.unionByName(geo.where("depth = 1").select("node_id", F.col("node_id").alias("descendant")))
-    return both.join(seeds.select(F.col("node_id").alias("descendant")), "descendant", "left_semi").select("node_id").distinct()
+    return search.seed_prune(both, seeds)
 
 
 def _order_nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import pytest
 
@@ -40,6 +41,15 @@ def test_query(spark, duck, name):
         assert len(found)
 
 
+def test_entities_of_whole_texts(spark, duck):
+    """DuckDB's words end at ASCII letters, so the model is Python's regular expressions."""
+    want = set()
+    for doc, text in duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall():
+        want |= {(doc, x) for p in (r"\b[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*\b", r"\b\d+(?:\.\d+)?\b") for x in re.findall(p, text)}
+    found = [tuple(r) for r in registry.QUERIES["entity_index"](spark, DATA).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
