@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
@@ -36,8 +38,9 @@ class Engine:
         text = self._node_text(nodes, new)
         self.store.replace_documents("sections", new)
         self.store.replace_documents("nodes", text)
-        self.store.replace_documents("entities", self._entities(nodes, new))
-        self.store.replace_documents("edges", self._edges(text))
+        found = self._entities(nodes, new)
+        self.store.replace_documents("entities", found)
+        self.store.replace_documents("edges", self._edges(text, self._entities(nodes, new, T.cross_references), found))
         self.store.replace_documents("documents", tree.stats(nodes).join(admitted.select("doc_id", "n_words", "n_sections"), "doc_id"))
         return status
 
@@ -55,30 +58,31 @@ class Engine:
         return full.withColumn("summary", summary).withColumn("text", F.concat_ws(" ", "title", "summary")).drop("body")
 
     @staticmethod
-    def _entities(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    def _entities(nodes: DataFrame, rows: DataFrame, kind: Callable[[Column], Column] = lambda text: F.array_union(T.entities(text), T.cross_references(text))) -> DataFrame:
         """ENT-1: entities of sections, at the last leaf over their page (JN-2)."""
         leaves = tree.leaf_of_page(rows.select("doc_id", "page_number").distinct(), nodes)
-        found = rows.select("doc_id", "page_number", F.explode(F.array_union(T.entities(F.col("content")), T.cross_references(F.col("content")))).alias("entity"))
+        found = rows.select("doc_id", "page_number", F.explode(kind(F.col("content"))).alias("entity"))
         return found.join(leaves, ["doc_id", "page_number"]).select("doc_id", "entity", "node_id").distinct()
 
     @staticmethod
-    def _edges(nodes: DataFrame) -> DataFrame:
-        """GRF-2 within documents."""
+    def _edges(nodes: DataFrame, xrefs: DataFrame, entities: DataFrame) -> DataFrame:
+        """GRF-2 within documents; references (JN-4) go to the nodes of the same document that hold the entity."""
         key = lambda c: F.concat_ws(":", F.col("doc_id").cast("string"), F.col(c))
         keyed = nodes.select("doc_id", "preorder", "text", key("node_id").alias("node_id"), F.when(F.col("parent_id").isNotNull(), key("parent_id")).alias("parent_id"))
-        every = graph.elaborates(keyed).unionByName(graph.temporal(keyed)).unionByName(graph.contradicts(keyed))
+        named = lambda rows: rows.select(key("node_id").alias("node_id"), key("entity").alias("reference"))
+        every = graph.elaborates(keyed).unionByName(graph.references(named(xrefs), named(entities))).unionByName(graph.temporal(keyed)).unionByName(graph.contradicts(keyed))
         return graph.dedupe(every).withColumn("doc_id", F.split("src", ":")[0].cast("long"))
 
     def query(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """RTE-1, RTE-3 for rows (query_id, text): intent, answer, confidence and number of sources.
 
         Graph queries start from the nodes of their entities and take those
-        within three hops; where there is none they are searched like others.
+        within three hops over edges of the types they ask for (FLT-8); where there is none they are searched like others.
         """
         nodes, rows = self.store.read("nodes"), self.store.read("sections")
         asked = queries.withColumn("intent_type", T.intent(F.col("text"))).withColumn("entities", T.query_entities(F.col("text")))
-        mentions = asked.where("intent_type = 'graph'").select("query_id", F.explode("entities").alias("entity"))
-        seeds = mentions.join(self.store.read("entities"), "entity").select("query_id", F.concat_ws(":", F.col("doc_id").cast("string"), "node_id").alias("node")).distinct()
+        mentions = asked.where("intent_type = 'graph'").select("query_id", T.edge_types(F.col("text")).alias("edge_types"), F.explode("entities").alias("entity"))
+        seeds = mentions.join(self.store.read("entities"), "entity").select("query_id", "edge_types", F.concat_ws(":", F.col("doc_id").cast("string"), "node_id").alias("node")).distinct()
         walked = graph.bfs(seeds, self.store.read("edges"), 3).select("query_id", F.split("node", ":")[0].cast("long").alias("doc_id"), F.split("node", ":")[1].alias("node_id"), "hops")
         walked = walked.withColumn("confidence", F.lit(0.75)).withColumn("order", F.col("hops").cast("double")).drop("hops")
         plain = asked.join(seeds.select("query_id").distinct(), "query_id", "left_anti")

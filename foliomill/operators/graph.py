@@ -106,15 +106,20 @@ def dedupe(edges: DataFrame, collapse_parallel: bool = False) -> DataFrame:
 def bfs(seeds: DataFrame, edges: DataFrame, max_hops: int = 3, edge_types: list[str] | None = None) -> DataFrame:
     """GRF-4, JN-7: nodes within ``max_hops`` out-edges of each query's seeds, with the least number of hops.
 
-    ``seeds``: query_id, node. The loop is bounded, and each level joins only
-    what the level before found for the first time.
+    ``seeds``: query_id, node and, where queries follow edges of their own
+    types, edge_types. The loop is bounded, and each level joins only what the
+    level before found for the first time.
     """
+    own = [c for c in ("edge_types",) if c in seeds.columns]
     if edge_types:
         edges = edges.where(F.col("edge_type").isin(*edge_types))
-    steps = edges.select(F.col("src").alias("node"), "dst").distinct()
-    found = frontier = seeds.select("query_id", "node").distinct().withColumn("hops", F.lit(0))
+    steps = edges.select(F.col("src").alias("node"), "dst", *[F.col("edge_type") for _ in own]).distinct()
+    found = frontier = seeds.select("query_id", "node", *own).distinct().withColumn("hops", F.lit(0))
     for hop in range(1, max_hops + 1):
-        new = frontier.join(steps, "node").select("query_id", F.col("dst").alias("node")).distinct()
+        reached = frontier.join(steps, "node")
+        if own:
+            reached = reached.where(F.array_contains("edge_types", F.col("edge_type")))
+        new = reached.select("query_id", F.col("dst").alias("node"), *own).distinct()
         frontier = new.join(found.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("hops", F.lit(hop))
         found = found.unionByName(frontier)
-    return found
+    return found.drop(*own)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliomill.engine import Engine
 from foliomill.functions import text as T
-from foliomill.operators import search
+from foliomill.operators import graph, search
 
 
 def test_followups_name_the_rewritten_query(spark):
@@ -42,3 +43,21 @@ def test_seed_prune(spark):
 def test_references_end_at_a_word(spark):
     row = spark.createDataFrame([("See Table A- and table  2.1, Section 3.",)], "text string").select(T.cross_references(F.col("text")).alias("x")).first()
     assert row.x == ["Section 3", "Table A", "table 2.1"]
+
+
+def test_walk_by_the_types_of_each_query(spark):
+    edges = spark.createDataFrame([("a", "b", "REFERENCES"), ("b", "c", "ELABORATES"), ("a", "d", "ELABORATES"), ("b", "e", "REFERENCES")], "src string, dst string, edge_type string")
+    seeds = spark.createDataFrame([(1, "a", ["REFERENCES"]), (2, "a", ["REFERENCES", "ELABORATES"]), (3, "a", [])], "query_id int, node string, edge_types array<string>")
+    found = {(r.query_id, r.node, r.hops) for r in graph.bfs(seeds, edges).collect()}
+    assert found == {(1, "a", 0), (1, "b", 1), (1, "e", 2), (2, "a", 0), (2, "b", 1), (2, "d", 1), (2, "c", 2), (2, "e", 2), (3, "a", 0)}
+
+
+def test_index_holds_references_within_documents(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    texts = ["See Table 5 for Revenue.", "Plain words here.", "Table 5 lists Revenue by year."]
+    rows = [(doc, f"sec_{i:04d}", i, t) for doc in (1, 2) for i, t in enumerate(texts if doc == 1 else [texts[2]], 1)]
+    engine.index(spark.createDataFrame(rows, "doc_id long, section_id string, page_number int, content string"))
+    nodes = engine.store.read("entities").where("entity = 'Table 5'")
+    held = {(r.doc_id, f"{r.doc_id}:{r.node_id}") for r in nodes.collect()}
+    edges = {(r.src, r.dst) for r in engine.store.read("edges").where("edge_type = 'REFERENCES'").collect()}
+    assert edges == {(a, b) for x, a in held for y, b in held if x == y and a != b}
