@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.plans import document_queries, table_queries
+from foliomill.plans import document_queries, lifecycle_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = document_queries.QUERIES | table_queries.QUERIES
-ORACLES: dict[str, str] = document_queries.ORACLES | table_queries.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = document_queries.QUERIES | table_queries.QUERIES | lifecycle_queries.QUERIES
+ORACLES: dict[str, str] = document_queries.ORACLES | table_queries.ORACLES | lifecycle_queries.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
