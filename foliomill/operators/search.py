@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
+from foliomill.operators.lineage import cut
 
 
 def analyse(turns: DataFrame) -> DataFrame:
@@ -60,21 +63,22 @@ def tier1_selected(scores: DataFrame, threshold: float = 0.1, fallback: int = 3)
     return rows.where((F.col("score") >= threshold) | ((F.col("best") < threshold) & (F.col("rank") <= fallback))).drop("best", "rank")
 
 
-def tier2(queries: DataFrame, nodes: DataFrame, selected: DataFrame, threshold: float = 0.25, budget: int = 80, keep: int = 8, fallback: int = 3, max_depth: int = 12) -> DataFrame:
+def tier2(queries: DataFrame, nodes: DataFrame, selected: DataFrame, threshold: float = 0.25, budget: int = 80, keep: int = 8, fallback: int = 3) -> DataFrame:
     """SRCH-3: breadth-first inspection below the selected nodes, level by level.
 
     ``nodes`` also has parent_id and title. A node at or above ``threshold``
     is a candidate and its children are inspected; below it they are only if a
     query token stands in the title. At most ``budget`` nodes a (query,
     document) in order of discovery; the best ``keep``, or ``fallback`` of
-    those inspected where none is a candidate.
+    those inspected where none is a candidate. Each level is written to the
+    shared folder.
     """
     q = queries.select("query_id", T.token_set(F.col("text")).alias("q"))
     info = nodes.select("doc_id", "node_id", T.token_set(F.col("text")).alias("tokens"), T.token_set(F.coalesce("title", F.lit(""))).alias("in_title"))
     tree = nodes.where(F.col("parent_id").isNotNull()).select("doc_id", F.col("parent_id").alias("above"), "node_id", F.col("preorder").alias("child"))
-    level = selected.select("query_id", "doc_id", "node_id", F.col("preorder").alias("ord"))
+    level = selected.select("query_id", "doc_id", "node_id", F.struct(F.lit(0).alias("place"), F.col("preorder").cast("long").alias("child")).alias("ord"))
     seen, by = None, ["query_id", "doc_id"]
-    for depth in range(max_depth):
+    for depth in count():  # a level below has fewer nodes, or none: each is inspected once
         scored = level.join(info, ["doc_id", "node_id"]).join(q, "query_id")
         scored = scored.select(*by, "node_id", F.lit(depth).alias("depth"), "ord", T.overlap(F.col("q"), F.col("tokens")).alias("score"), F.arrays_overlap("q", "in_title").alias("titled"))
         place = F.row_number().over(Window.partitionBy(*by).orderBy("ord", "node_id"))
@@ -84,12 +88,12 @@ def tier2(queries: DataFrame, nodes: DataFrame, selected: DataFrame, threshold:
             scored = scored.join(used, by, "left").where(F.col("place") + F.coalesce("used", F.lit(0)) <= budget).drop("used")
         else:
             scored = scored.where(F.col("place") <= budget)
-        scored = scored.persist()
+        scored = cut(scored, "tier2")  # else the plan doubles with each level
         opened = scored.where((F.col("score") >= threshold) | F.col("titled"))
         seen = scored if seen is None else seen.unionByName(scored)
-        children = opened.select(*by, F.col("node_id").alias("above"), "place").join(tree, ["doc_id", "above"]).select(*by, "node_id", (F.col("place") * 1_000_000 + F.col("child")).alias("ord"))
+        children = opened.select(*by, F.col("node_id").alias("above"), "place").join(tree, ["doc_id", "above"]).select(*by, "node_id", F.struct("place", F.col("child").cast("long").alias("child")).alias("ord"))
         level = children.join(seen.select(*by, "node_id"), [*by, "node_id"], "left_anti")
-        if not level.limit(1).count():
+        if level.isEmpty():
             break
     order = Window.partitionBy(*by).orderBy(F.desc("hit"), F.desc("score"), "depth", "place")
     ranked = seen.withColumn("hit", F.col("score") >= threshold).withColumn("any", F.max("hit").over(Window.partitionBy(*by))).withColumn("rank", F.row_number().over(order))
