@@ -8,10 +8,12 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -443,6 +445,53 @@ def test_pitman_yor_by_hand(spark, docs):
     assert not want - found
 
 
+def test_pitman_yor_words_and_seats():
+    texts = ["", " \t", "A b\x0bA\x0c\r\n", "É\x1cé x\x85y  z", "\x00 q ", " lead", "one"]
+    words, offsets = pitman_yor.words_of(pa.array(["cut off", *texts])[1:])
+    listed = words.to_pylist()
+    assert [[w.encode() for w in listed[a:b]] for a, b in itertools.pairwise(offsets)] == [t.encode().lower().split() for t in texts]
+    o = pitman_yor.Options(block_tokens=4)
+    batch = pa.record_batch([pa.array([1, None, 3, 4, 5, 6, 7]), pa.array(texts)], names=["doc_id", "text"])
+    number, got = pitman_yor.xxhash.xxh3_64_intdigest, []
+    for docs, _, counts, own, contexts, doc, hashes in pitman_yor.blocks(iter([batch]), o, 1 << 16):
+        assert counts.sum() == len(own) == len(contexts) == len(doc) and len(docs) == len(counts)
+        got += list(zip(hashes[own].tolist(), contexts.tolist(), strict=True))
+    sequences = [[*t.encode().lower().split(), b"\n"] for t in texts]
+    assert got == [(number(w), pitman_yor.context_of(v, o, 1 << 16)) for s in sequences for v, w in itertools.pairwise([b"\n", *s])]
+    rng = np.random.default_rng(1)
+    c, odds, keys = rng.integers(1, 60, 500), rng.random(500) * 5, rng.integers(0, 2**62, 500).astype(np.uint64)
+    expected = []
+    for most, weight, key in zip(c.tolist(), odds.tolist(), keys, strict=True):
+        t, n = 1, 1
+        while n < most:
+            m = min(max(1, n // 16), most - n)
+            t += int(m * (weight / (weight + n - 0.75 * t)) + pitman_yor.mixed(np.array([key]), n)[0])
+            n += m
+        expected.append(t)
+    assert pitman_yor.seat(c, odds, 0.75, keys).tolist() == expected
+
+
+def test_pitman_yor_numbers_words_faster_than_a_loop_over_them():
+    text = " ".join(f"w{i * i % 30011}" for i in range(400_000))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([text, text])], names=["doc_id", "text"])
+
+    def loop() -> None:
+        index = defaultdict(itertools.count().__next__)
+        for t in batch.column(1).to_pylist():
+            words = t.encode().lower().split()
+            np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+
+    def seconds(f) -> float:
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: list(pitman_yor.blocks(iter([batch]), pitman_yor.Options(), 1 << 16))) < 0.8 * seconds(loop)
+
+
 def test_pitman_yor_is_the_same_in_any_partitions(spark, docs):
     held = spark.conf.get("spark.sql.shuffle.partitions")
     scores = []
