@@ -83,8 +83,10 @@ def followup_rewrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """FN-3 without zeros, to six places. Spark's round loses the sign of what rounds to 0; components below 0 keep it, as -0.0."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.embedding(F.col("text"))).alias("dim", "v"))
-    return rows.where(F.col("v") != 0).select("conv_id", "turn", "dim", F.round("v", 6).alias("v"))
+    size = F.round(F.abs("v"), 6)
+    return rows.where(F.col("v") != 0).select("conv_id", "turn", "dim", F.when(F.col("v") < 0, -size).otherwise(size).alias("v"))
 
 
 def query_cluster(spark: SparkSession, d: str) -> DataFrame:

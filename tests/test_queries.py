@@ -41,6 +41,18 @@ def test_query(spark, duck, name):
         assert len(found)
 
 
+def test_embedding_keeps_the_sign_of_cancelled_components(spark, tmp_path):
+    """Tokens whose values cancel leave a rest of about 1e-16, which the SQL rounds to 0.0 or, below 0, to -0.0."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["t1 t68 t205 t440 alpha beta", "t98 t185 t334 t498 alpha beta", "t1 t68 t205 t440", "alpha beta", ""]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = plain(con.execute(registry.ORACLES["query_embedding"]).df())
+    assert {x for row in want for x in row} >= {"0.000000", "-0.000000"}
+    assert plain(registry.QUERIES["query_embedding"](spark, str(tmp_path)).toPandas()) == want
+
+
 def test_entities_of_whole_texts(spark, duck):
     """DuckDB's words end at ASCII letters, so the model is Python's regular expressions."""
     want = set()
