@@ -77,6 +77,41 @@ def test_encoder_equals_library():
     assert ids_of("hi<|endoftext|> there").tolist() == [5303, 50256, 612, 0]
 
 
+def test_encoder_looks_up_each_run_once():
+    class Counted(tokens.Runs):
+        asked, encoded = 0, []
+
+        def __getitem__(self, run):
+            self.asked += 1
+            return super().__getitem__(run)
+
+        def encode(self, text):
+            self.encoded.append(text)
+            return super().encode(text)
+
+    coder = tokens.Encoder()
+    coder.runs = Counted(coder.tokenizer)
+    texts = [f"ein Wörtchen!! and one {i % 3}\nand é%%% one, zwei" for i in range(200)]
+    assert coder.batch(texts) == [ids_of(x)[:-1].tobytes() for x in texts]
+    assert coder.runs.asked <= 20  # 1,600 runs, 11 of them distinct, 3 of these also without their marks
+    assert sorted(coder.runs.encoded) == ["\n", " 0", " 1", " 2", "!!", "%%%", ","]  # words with marks are not encoded whole
+
+
+def test_encoder_takes_texts_together():
+    rng = random.Random(11)
+    marks = ["", "", ".", ",", "!!", "'", "''", "'s", "_", "%%%%%", ").", "-", "[~]", "\u00d7", "\u2026", "\u0301", "\x00", "9", "@a"]
+    words = ["It", "don't", "é", "Ñandú", "x", "HATI", "3.5", "a_b", "日本", "l'", "ß", "_"]
+    texts = []
+    for _ in range(300):
+        runs = [rng.choice(words) + rng.choice(marks) + rng.choice(marks) for _ in range(rng.randint(0, 30))]
+        texts.append("".join(x for run in runs for x in (run, rng.choice(["\n", *[" "] * 6, *["  "] * (rng.random() < 0.02)])))[: rng.choice([-1, None])])
+    texts += ["", "", "one<|endoftext|> two", "word " * 40 + "end", "\U0001f600 a\n\U0001f600"]
+    want = [ids_of(x)[:-1].tobytes() for x in texts]
+    for most, chars in ((1_000_000, 4_000_000), (4, 4_000_000), (50, 100), (1_000_000, 0)):
+        assert tokens.Encoder(most=most).batch(texts, chars) == want
+    assert tokens.Encoder().batch([]) == [] and tokens.Encoder().batch([""]) == [b""]
+
+
 @pytest.mark.parametrize("ids", [[], [5], [2**32 - 1, 7, 7], list(range(2000)), [1] * 5000])
 def test_blocks_round_trip(ids):
     ids = np.array(ids, np.uint32)
