@@ -129,8 +129,9 @@ class Encoder:
             self.runs.old = dict(self.runs)
             self.runs.clear()
 
-    def batch(self, texts: list[str], chars: int = 4_000_000) -> list[bytes]:
-        """The ids of each text; plain ones are taken together, up to ``chars`` characters, longer ones alone."""
+    def batch(self, texts: list[str], chars: int | None = None) -> list[bytes]:
+        """The ids of each text; plain ones are taken together, up to ``chars`` characters (four a run kept), longer ones alone."""
+        chars = 4 * self.most if chars is None else chars
         out, plain = [b""] * len(texts), []
         for i, text in enumerate(texts):
             if text and len(text) <= chars and self.plain(text):
